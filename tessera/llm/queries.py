@@ -37,3 +37,10 @@ def op9_simhash(spark, sf_dir):
 
     found = near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", fingerprint_hex().alias("fingerprint"), "component_id")
+
+
+@query
+def op10_pieces(spark, sf_dir):
+    from .pieces import encode, load
+
+    return encode(read(spark, sf_dir, "documents"), load(), with_ids=False)
