@@ -44,3 +44,17 @@ def op10_pieces(spark, sf_dir):
     from .pieces import encode, load
 
     return encode(read(spark, sf_dir, "documents"), load(), with_ids=False)
+
+
+@query
+def op6_secrets(spark, sf_dir):
+    from .secrets import AS, count, listed, scan
+
+    found = scan(read(spark, sf_dir, "documents"), "doc_id")
+    base, spans = F.col(f"{AS}.base"), F.col(f"{AS}.spans")
+    return found.select(
+        "doc_id",
+        *[count(base, k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(listed(base), 256).alias("base_sha256"),
+        listed(spans).alias("spans"),
+    )
