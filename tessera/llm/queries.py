@@ -58,3 +58,10 @@ def op6_secrets(spark, sf_dir):
         F.sha2(listed(base), 256).alias("base_sha256"),
         listed(spans).alias("spans"),
     )
+
+
+@query
+def op8_licenses(spark, sf_dir):
+    from .licenses import scan
+
+    return scan(read(spark, sf_dir, "documents"))
