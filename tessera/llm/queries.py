@@ -65,3 +65,14 @@ def op8_licenses(spark, sf_dir):
     from .licenses import scan
 
     return scan(read(spark, sf_dir, "documents"))
+
+
+@query
+def op5_toxicity(spark, sf_dir):
+    from .common import split_of
+    from .toxicity import fit, score
+
+    docs = read(spark, sf_dir, "documents")
+    found = score(docs, fit(docs, read(spark, sf_dir, "labels")))
+    held = (split_of("doc_id", 5) == 0).alias("held_out")
+    return found.select("doc_id", held, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "lang_threshold", "flagged")
