@@ -76,3 +76,14 @@ def op5_toxicity(spark, sf_dir):
     found = score(docs, fit(docs, read(spark, sf_dir, "labels")))
     held = (split_of("doc_id", 5) == 0).alias("held_out")
     return found.select("doc_id", held, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "lang_threshold", "flagged")
+
+
+@query
+def op2_quality(spark, sf_dir):
+    from .common import split_of
+    from .quality import fit, score
+
+    docs = read(spark, sf_dir, "documents")
+    found = score(docs, fit(docs, read(spark, sf_dir, "labels")))
+    held = (split_of("doc_id", 3) == 1).alias("held_out")
+    return found.select("doc_id", held, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
