@@ -87,3 +87,12 @@ def op2_quality(spark, sf_dir):
     found = score(docs, fit(docs, read(spark, sf_dir, "labels")))
     held = (split_of("doc_id", 3) == 1).alias("held_out")
     return found.select("doc_id", held, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op7_render(spark, sf_dir):
+    from .render import extract
+
+    found = extract(read(spark, sf_dir, "pages"))
+    lines = F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
+    return found.select("page_id", "text", F.length("text").cast("long").alias("n_chars"), lines.alias("n_lines"))
