@@ -96,3 +96,10 @@ def op7_render(spark, sf_dir):
     found = extract(read(spark, sf_dir, "pages"))
     lines = F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
     return found.select("page_id", "text", F.length("text").cast("long").alias("n_chars"), lines.alias("n_lines"))
+
+
+@query
+def op4_neighbours(spark, sf_dir):
+    from .ann import nearest
+
+    return nearest(read(spark, sf_dir, "embeddings"))
