@@ -129,24 +129,23 @@ def search(docs: DataFrame, benchmark: DataFrame, size: int = 10, part_bytes: in
         held = spark.sparkContext.broadcast(patterns)
 
         def run(batches):
-            from pyspark import TaskContext
-
-            searcher, row = Searcher(held.value), TaskContext.get().partitionId() << 40
+            searcher = Searcher(held.value)
             for b in batches:
-                out = [searcher.search(t.as_py()) for t in b.column(1)]
+                out = [searcher.search(t.as_py()) for t in b.column(2)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(range(row, row + len(out)), pa.int64()),
                         b.column(0),
+                        b.column(1),
                         pa.array([n for n, _, _ in out], pa.int64()),
                         pa.array([[{"s": s, "e": e} for s, e in spans] for _, spans, _ in out], kind),
                         pa.array([sorted(map(str, items - {None})) for _, _, items in out], pa.list_(pa.string())),
                     ],
                     ["row", "doc_id", "n_words", "spans", "items"],
                 )
-                row += len(out)
 
-        return texts(docs, "doc_id").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, schema)
+        # The same number for a row in each pass: it counts within the partitions of the scan, which are the same each time.
+        src = texts(docs, "doc_id").withColumn("doc_id", F.col("doc_id").cast("long"))
+        return src.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(run, schema)
 
     found = job(parts[0])
     if len(parts) > 1:

@@ -103,3 +103,13 @@ def op4_neighbours(spark, sf_dir):
     from .ann import nearest
 
     return nearest(read(spark, sf_dir, "embeddings"))
+
+
+@query
+def op1_context_trees(spark, sf_dir):
+    from .ctw import held_out, score
+
+    found = score(read(spark, sf_dir, "documents"), ~held_out())
+    return found.select(
+        "doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"
+    )
