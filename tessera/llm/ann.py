@@ -115,7 +115,7 @@ def nearest(df: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     data = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks))).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
     queries = rows.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("length", F.size("v"))
     queries = queries.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int"))
-    queries = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+    queries = queries.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         def unpack(t):

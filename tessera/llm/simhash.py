@@ -130,4 +130,6 @@ def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
     heads = near_duplicates(docs, shingle).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__id"), F.lit(1).alias("__one")).distinct()
     name = docs.columns
     kept = docs.filter(F.col("doc_id").isNotNull()).join(heads, F.col("doc_id").cast("long") == F.col("__id")).select(*name)
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.filter(F.col("doc_id").isNull()))
+    rest = [c for c in name if c != "doc_id"]
+    one = kept.groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("__row")).select("doc_id", "__row.*").select(*name)
+    return one.unionByName(docs.filter(F.col("doc_id").isNull()))
