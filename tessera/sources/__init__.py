@@ -1 +1 @@
-
+"""Readers, connectors and writers."""
