@@ -180,7 +180,7 @@ _N = "(l_linenumber * 12)"
 register("fn_financial", "lineitem", {
     "fv": (lambda: F.round(f("financial.Fv", F.lit(0.01), C("l_linenumber") * 12, -C("l_quantity"), F.lit(0.0)), 4), f"round(l_quantity * (pow(1.01::DOUBLE, {_N}) - 1) / 0.01, 4)"), "pv": (lambda: F.round(f("financial.Pv", F.lit(0.01), C("l_linenumber") * 12, -C("l_quantity"), F.lit(0.0)), 4), f"round(l_quantity * (1 - pow(1.01::DOUBLE, -{_N})) / 0.01, 4)"),
     "pm": (lambda: F.round(f("financial.Pmt", F.lit(0.01), C("l_linenumber") * 12, C("l_extendedprice")), 4), f"round(-l_extendedprice * 0.01 / (1 - pow(1.01::DOUBLE, -{_N})), 4)"), "np": (lambda: F.round(f("financial.NPer", F.lit(0.01), F.lit(-100.0), C("l_quantity") * 10), 6), "round(-ln(1 - l_quantity * 10 * 0.01 / 100.0::DOUBLE) / ln(1.01::DOUBLE), 6)"),
-    "i1": (lambda: F.round(f("financial.IPmt", F.lit(0.01), F.lit(1), C("l_linenumber") * 12, C("l_extendedprice")), 4), "round(-l_extendedprice * 0.01, 4)"), "ip": (lambda: F.round(f("financial.ISPmt", F.lit(0.01), F.lit(1), F.lit(16), C("l_extendedprice")), 6), "round(-l_extendedprice * 0.01 * (1 - 1 / 16.0::DOUBLE), 6)"),
+    "i1": (lambda: F.round(f("financial.IPmt", F.lit(0.01), F.lit(1), C("l_linenumber") * 12, C("l_extendedprice")), 4), "round(-l_extendedprice * 0.01, 4)"), "ip": (lambda: F.round(f("financial.ISPmt", F.lit(0.01), F.lit(1), F.lit(7), C("l_extendedprice")), 5), "round(-l_extendedprice * 0.01 * (1 - 1 / 7.0::DOUBLE), 5)"),
     "sl": (lambda: F.round(f("financial.Sln", C("l_extendedprice"), F.lit(100.0), F.lit(10)), 4), "round((l_extendedprice - 100) / 10, 4)"), "sy": (lambda: F.round(f("financial.Syd", C("l_extendedprice"), F.lit(100.0), F.lit(10), C("l_linenumber")), 4), "round((l_extendedprice - 100) * (10 - l_linenumber + 1) * 2 / 110.0::DOUBLE, 4)"),
     "ef": (lambda: F.round(f("financial.Effect", C("l_tax"), F.lit(12)), 8), "round(pow(1 + l_tax / 12, 12) - 1, 8)"), "no": (lambda: F.round(f("financial.Nominal", C("l_tax"), F.lit(12)), 8), "round(12 * (pow(1 + l_tax, 1 / 12.0::DOUBLE) - 1), 8)"),
     "rr": (lambda: F.round(f("financial.RRI", F.lit(8), F.lit(100.0), C("l_quantity") + 100), 8), "round(pow((l_quantity + 100) / 100.0::DOUBLE, 1 / 8.0::DOUBLE) - 1, 8)"), "tp": (lambda: F.round(f("financial.TBillPrice", F.lit("2020-01-01").cast("date"), F.lit("2020-06-01").cast("date"), C("l_tax")), 6), "round(100 * (1 - l_tax * 152 / 360), 6)"),
