@@ -99,8 +99,8 @@ def service(df: DataFrame, template: str, columns, path: str = "", output: str =
                 if any(v is None or v != v for v in row):
                     out.append(None)
                     continue
-                values = dict(zip(columns, row, strict=True)) | constants
-                url = template.format(**{k: urllib.parse.quote(str(v)) for k, v in values.items()})
+                values = {k: urllib.parse.quote(str(v)) for k, v in (dict(zip(columns, row, strict=True)) | constants).items() if k != "base"}
+                url = template.format(base=constants.get("base", ""), **values)
                 if url not in held:
                     if len(held) >= 1000:
                         held.pop(next(iter(held)))

@@ -67,14 +67,10 @@ def cumulative(part):
         p = pmt(rate, nper_, pv_, 0.0, due)
         a, b = _f(first), _f(last)
         paid = p * (b - a + 1)
-        # Principal of period k is the fall of the balance over it; due payments have none of interest in the first.
-        if not due:
-            principal = (fv(rate, a - 1, p, pv_) - fv(rate, b, p, pv_)) * -1
-        else:
-            bal = lambda k: fv(rate, k, p, pv_, 1)
-            start = F.when(a == 1, -_f(pv_)).otherwise(bal(a - 2) - p)
-            principal = (start - (F.when(b == 0, -_f(pv_)).otherwise(bal(b - 1) - p))) * -1
-            principal = F.when(a == 1, p + (F.when(b > 1, (bal(a - 1) - p) - (bal(b - 1) - p)).otherwise(0.0)) * -1).otherwise(principal)
+        # The balance after k payments; principal is its fall. A payment at the start of the first period is all principal.
+        start = _f(pv_) / (1 + _f(rate)) if due else _f(pv_)
+        left = lambda k: -fv(rate, k, p, start)
+        principal = left(b) - (F.when(a == 1, _f(pv_)).otherwise(left(a - 1)) if due else left(a - 1))
         return principal if part == "principal" else paid - principal
 
     return build

@@ -198,7 +198,7 @@ def regression_curve(kind: str = "linear", degree: int = 1):
             line, c = _curve(kind, degree, at[use], y[use], at)
             return p.assign(fit=line, coefficients=[c] * len(p))
 
-        return (df.groupBy(*group) if group else df.groupBy(F.lit(0))).applyInPandas(run, schema)
+        return df.groupBy(*group).applyInPandas(run, schema)
 
     return build
 
@@ -240,7 +240,7 @@ def forecast(df: DataFrame, series: str, value: str, group=(), is_forecast: str
             out[ahead], spread = ssa(y, int(ahead.sum()), length, rank)
         return p.assign(forecast=out, lower=out - z * spread, upper=out + z * spread)
 
-    return (df.groupBy(*group) if group else df.groupBy(F.lit(0))).applyInPandas(run, schema)
+    return df.groupBy(*group).applyInPandas(run, schema)
 
 
 add("ml", "estimator", SpikeDetection=spikes, SpikeDetectionModel=spike_model, ClusteringKMeansTrain=kmeans, ClusteringKMeansEvaluate=kmeans_evaluate, ClusteringKMeansPredict=predict,

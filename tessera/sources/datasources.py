@@ -1,7 +1,6 @@
 """Data sources in Python: SQLite files, web services, and stores that list pages of items.
 
-Each is registered with `register(spark)` and then read by name. They partition their work and push down equality and range filters where the
-store can apply them.
+Each is registered with `register(spark)` and then read by name. They partition their work; a `query` does what should be done at the source.
 """
 
 from __future__ import annotations
@@ -44,15 +43,7 @@ class SqliteSource(D.DataSource):
 
 class SqliteReader(D.DataSourceReader):
     def __init__(self, options, schema):
-        self.options, self.columns, self.filters = dict(options), schema, []
-
-    def pushFilters(self, filters):
-        ops = {D.EqualTo: "=", D.GreaterThan: ">", D.GreaterThanOrEqual: ">=", D.LessThan: "<", D.LessThanOrEqual: "<="}
-        for f in filters:
-            op = ops.get(type(f))
-            if op and len(f.attribute) == 1 and isinstance(f.value, (int, float, str)) and not isinstance(f.value, bool):
-                self.filters.append((f.attribute[0], op, f.value))
-            yield f  # Spark checks again: it costs little, and comparisons of mixed types differ
+        self.options, self.columns = dict(options), schema
 
     def partitions(self):
         parts = int(self.options.get("parts", 1))
@@ -71,9 +62,6 @@ class SqliteReader(D.DataSourceReader):
         if partition.value:
             where.append("rowid >= ? AND rowid < ?")
             args += partition.value
-        for name, op, value in self.filters:
-            where.append(f'"{name}" {op} ?')
-            args.append(value)
         if "query" in self.options:
             sql = f"SELECT * FROM ({sql})"
         with sqlite3.connect(self.options["path"]) as con:
