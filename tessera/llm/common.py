@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import tempfile
 import uuid
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,3 +85,35 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def here(name: str) -> Path:
     return Path(__file__).parent / name
+
+
+def tidied(run):
+    """A function over batches that gives its memory back to the system when a task ends, for workers live on."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):
+                pass
+
+    return whole
+
+
+def keep_rows(docs: DataFrame, judge, step: int = 1000) -> DataFrame:
+    """The rows of docs that judge() accepts, columns as given; judge() makes, once a task, a function from a list of texts to booleans."""
+    at = docs.columns.index("text")
+    as_text = docs.schema["text"].dataType.typeName() == "string"
+
+    def run(batches):
+        accept = judge()
+        for b in batches:
+            for lo in range(0, b.num_rows, step):
+                part = b.slice(lo, step)
+                texts_ = part.column(at).cast(pa.binary()).to_pylist() if as_text else [None if t is None else str(t).encode() for t in part.column(at).to_pylist()]
+                yield part.filter(pa.array(accept(texts_), pa.bool_()))
+
+    return docs.mapInArrow(tidied(run), docs.schema)

@@ -9,8 +9,8 @@ code length per byte is minus the base-2 logarithm of a text's probability over
 
 How it runs. One pass counts words and (depth + 1)-byte strings of the training rows, summed within tasks first, then by key over the cluster; what
 is gathered grows with the corpus. Strings are split by the two bytes before the last, which all deeper nodes of a path share, into as many
-parts as keep each under `PART` strings; a part's tree is built and shipped by itself, and a text's score is the sum over parts
-(one pass for each). Words are priced in two ways: those with more than a 2**-20 share of the training tokens, of which there can't be more than
+parts as keep each at about `PART` strings; a part's tree is built (in units of about `UNIT`) and shipped by itself, and a text's score
+is the sum over parts (one pass for each). Words are priced in two ways: those with more than a 2**-20 share of the training tokens, of which there can't be more than
 2**20, are broadcast; all others are joined by word, with the rows' counts of them.
 
 Defined results: null and empty texts have the end token only; a null doc_id counts as the empty text when rows are dealt; repeated rows each
@@ -26,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, space_words, split_of
+from .common import cut, space_words, split_of, tidied
 
 DEPTH = 5
-PART = 1_500_000
+PART = 3_000_000
+UNIT = 250_000
 HEAVY = 1 << 20
 END = b"\n"  # can't be part of a word
 PIECE = 4 << 20
@@ -126,7 +127,7 @@ def count(docs: DataFrame, depth: int) -> DataFrame:
         yield from rows(0, list(words), list(words.values()))
 
     src = docs.select(F.col("text").cast("string").cast("binary").alias("text"))
-    return src.mapInArrow(run, "kind int, key binary, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return src.mapInArrow(tidied(run), "kind int, key binary, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 def lgamma(x: np.ndarray) -> np.ndarray:
@@ -197,7 +198,12 @@ class Tree:
         for d in range(depth, self.low - 1, -1):
             below = self.weigh(self.levels[d], d, below)
         top = self.levels[self.low]
-        self.up = (parent(top.key, self.low - 1), top.log) if self.low else None
+        self.up = None
+        if self.low:  # summed by the node above, of which there are few
+            key, log = parent(top.key, self.low - 1), top.log
+            o = np.argsort(key, kind="stable")
+            first = np.flatnonzero(np.concatenate([[True], np.diff(key[o]) != 0]))
+            self.up = (key[o][first], np.add.reduceat(log[o], first))
 
     @staticmethod
     def weigh(level: Level, d: int, below) -> tuple[np.ndarray, np.ndarray]:
@@ -272,44 +278,60 @@ def roots(trees_up: list, code_counts: list, depth: int) -> dict[int, Level]:
     return out
 
 
-def build(strings: DataFrame, depth: int = DEPTH, part: int = PART):
-    """Trees of the parts, one by one: (number of parts, part number of a unit of two bytes, trees). The driver holds one part at a time."""
+def join_trees(trees: list[Tree]) -> Tree | None:
+    """One tree of several whose nodes differ from depth 2 on."""
+    if len(trees) < 2:
+        return trees[0] if trees else None
+    out = trees[0]
+    out.code, out.logs = np.concatenate([t.code for t in trees]), np.concatenate([t.logs for t in trees])
+    for d in list(out.nodes):
+        if d >= out.low:
+            cols = [np.concatenate([t.nodes[d][i] for t in trees]) for i in range(3)]
+            for t in trees[1:]:
+                del t.nodes[d]
+            o = np.argsort(cols[0])
+            out.nodes[d] = tuple(c[o] for c in cols)
+    return out
+
+
+def build(strings: DataFrame, depth: int = DEPTH, part: int = PART, unit: int = UNIT):
+    """(number of parts, iterator of (part, tree)). The driver builds a unit at a time, and joins a part's units."""
     total = strings.count()
     parts = max(1, -(-total // part))
+    units = parts * max(1, -(-total // (parts * unit)))
+    number = F.conv(F.hex("key"), 16, 10).cast("long").alias("code")
+    rows = strings.select(number, "n").withColumn("unit", F.shiftright("code", 8).bitwiseAND(0xFFFF) * 40503 % 65536 % units)
 
     def fetch(i):
-        unit = F.conv(F.hex(F.substring("key", 6, 2)), 16, 10).cast("long")
-        rows = strings.filter(F.pmod(unit * 40503 % 65536, F.lit(parts)) == i) if parts > 1 else strings
-        t = rows.select("key", "n").toArrow().combine_chunks()
-        key = t.column("key").combine_chunks() if t.num_rows else None
-        code = np.frombuffer(b"".join(k.as_py() for k in key), ">u8").astype(np.uint64) if key is not None else np.array([], np.uint64)
-        n = t.column("n").to_numpy().astype(float) if t.num_rows else np.array([])
-        return merge([code], [n])
+        t = rows.filter(F.col("unit") == i).select("code", "n").toArrow()
+        return merge([t.column("code").to_numpy().astype(np.uint64)], [t.column("n").to_numpy().astype(float)])
 
     upper_code, ups = [], []
-    mask = np.uint64(0xFFFF)
     first = None
-    for i in range(parts):
+    for i in range(units):
         code, n = fetch(i)
         if len(code):
             tree = Tree(code, n, depth)
             if tree.low:
                 ups.append(tree.up)
-                upper_code.append(merge([code & mask], [n]))
-            first = tree
+                upper_code.append(merge([code & np.uint64(0xFFFF)], [n]))
+            first = tree if units == 1 else None
     upper = roots(ups, upper_code, depth) if ups else {}
     for d in sorted(upper):
         Tree.spread(None, upper[d], d, upper.get(d - 1))
 
     def trees():
-        for i in range(parts):
-            tree = first if parts == 1 else None
-            if tree is None:
-                code, n = fetch(i)
-                tree = Tree(code, n, depth) if len(code) else None
-            if tree is not None:
-                tree.finish(dict(upper))
-            yield i, tree
+        for p in range(parts):
+            done = []
+            for i in range(p, units, parts):
+                tree = first
+                if tree is None:
+                    code, n = fetch(i)
+                    tree = Tree(code, n, depth) if len(code) else None
+                if tree is not None:
+                    tree.finish(dict(upper))
+                    done.append(tree)
+            yield p, join_trees(done)
 
     return parts, trees()
 
@@ -365,7 +387,7 @@ def score(docs: DataFrame, train, depth: int = DEPTH, part: int = PART) -> DataF
     rest = words.filter(~((F.col("n") > total / HEAVY) & (F.length("key") <= 64)))
     smooth = total + 0.1 * (kinds + 1)
     shared = spark.sparkContext.broadcast(heavy)
-    parts, trees = build(strings, depth, part)
+    parts, trees = build(strings, depth, part, min(UNIT, part))
     # The same number for a row in each pass: it counts within the partitions of the scan, which are the same each time.
     src = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")
@@ -443,7 +465,7 @@ def score(docs: DataFrame, train, depth: int = DEPTH, part: int = PART) -> DataF
                 if ids:
                     yield emit(ids, bodies, lists)
 
-        return src.mapInArrow(run, schema)
+        return src.mapInArrow(tidied(run), schema)
 
     lines = None
     for i, tree in trees:
