@@ -190,9 +190,9 @@ def join_full(spark, d):
 
 
 @query("group_aggregates", """SELECT l_returnflag AS flag, count(l_orderkey) AS n, round(sum(l_quantity), 2) AS s, round(avg(l_quantity), 6) AS a, min(l_tax) AS lo, max(l_tax) AS hi,
- min_by(l_partkey, l_orderkey * 10 + l_linenumber) AS first_part, max_by(l_partkey, l_orderkey * 10 + l_linenumber) AS last_part FROM lineitem GROUP BY 1""")
+ min_by(l_partkey, (l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) AS first_part, max_by(l_partkey, (l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) AS last_part FROM lineitem GROUP BY 1""")
 def group_aggregates(spark, d):
-    li = table(spark, d, "lineitem").withColumn("o", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    li = table(spark, d, "lineitem").withColumn("o", (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_partkey"))
     out = G.group(li, [MapGroup("l_returnflag", "flag")], [MapAggregate("l_orderkey", "n", "count"), MapAggregate("l_quantity", "s", "sum"), MapAggregate("l_quantity", "a", "average"), MapAggregate("l_tax", "lo", "min"), MapAggregate("l_tax", "hi", "max"), MapAggregate("l_partkey", "first_part", "first", "o"), MapAggregate("l_partkey", "last_part", "last", "o")])
     return out.withColumns({"s": F.round("s", 2), "a": F.round("a", 6)})
 

@@ -12,10 +12,10 @@ C = F.col
 
 
 @query("fn_aggregates", """SELECT l_returnflag, count(*) AS n, round(sum(l_tax), 4) AS s, round(avg(l_tax), 8) AS a, min(l_quantity) AS lo, max(l_quantity) AS hi, count(*) FILTER (l_linestatus = 'F') AS t, count(*) FILTER (l_linestatus <> 'F') AS fa,
- count(*) FILTER (l_returnflag = l_linestatus) AS e, count(DISTINCT l_partkey) AS d, median(l_quantity) AS m, round(stddev_pop(l_quantity), 6) AS sd, round(var_pop(l_quantity), 6) AS v, min_by(l_partkey, l_orderkey * 10 + l_linenumber) FILTER (l_linestatus = 'F') AS fw,
- max_by(l_partkey, l_orderkey * 10 + l_linenumber) FILTER (l_linestatus = 'F') AS lw FROM lineitem GROUP BY 1""")
+ count(*) FILTER (l_returnflag = l_linestatus) AS e, count(DISTINCT l_partkey) AS d, median(l_quantity) AS m, round(stddev_pop(l_quantity), 6) AS sd, round(var_pop(l_quantity), 6) AS v, min_by(l_partkey, (l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) FILTER (l_linestatus = 'F') AS fw,
+ max_by(l_partkey, (l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) FILTER (l_linestatus = 'F') AS lw FROM lineitem GROUP BY 1""")
 def fn_aggregates(spark, d):
-    o = C("l_orderkey") * 10 + C("l_linenumber")
+    o = (C("l_orderkey") * 10 + C("l_linenumber")) * 100000 + C("l_partkey")
     return table(spark, d, "lineitem").groupBy("l_returnflag").agg(
         f("aggregate.Count").alias("n"), F.round(f("aggregate.Sum", C("l_tax")), 4).alias("s"), F.round(f("aggregate.Average", C("l_tax")), 8).alias("a"), f("aggregate.Min", C("l_quantity")).alias("lo"), f("aggregate.Max", C("l_quantity")).alias("hi"),
         f("aggregate.CountTrue", C("l_linestatus") == "F").alias("t"), f("aggregate.CountFalse", C("l_linestatus") == "F").alias("fa"), f("aggregate.CountEqual", C("l_returnflag"), C("l_linestatus")).alias("e"), f("aggregate.CountDistinct", C("l_partkey")).alias("d"),
@@ -29,9 +29,9 @@ def fn_concat_aggregate(spark, d):
     return table(spark, d, "nation").groupBy("n_regionkey").agg(f("aggregate.ConcatAgg", C("n_name"), ";").alias("names"), F.array_join(f("aggregate.CreateArray", C("n_nationkey")), ",").alias("keys"), f("aggregate.First", C("n_nationkey"), C("n_nationkey")).alias("first"), f("aggregate.Last", C("n_nationkey"), C("n_nationkey")).alias("last"))
 
 
-@query("fn_pivot_columns", "SELECT l_linestatus, max_by(l_partkey, l_orderkey * 10 + l_linenumber) FILTER (l_returnflag = 'A') AS \"A\", max_by(l_partkey, l_orderkey * 10 + l_linenumber) FILTER (l_returnflag = 'R') AS \"R\" FROM lineitem GROUP BY 1")
+@query("fn_pivot_columns", "SELECT l_linestatus, max_by(l_partkey, (l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) FILTER (l_returnflag = 'A') AS \"A\", max_by(l_partkey, (l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) FILTER (l_returnflag = 'R') AS \"R\" FROM lineitem GROUP BY 1")
 def fn_pivot_columns(spark, d):
-    o = C("l_orderkey") * 10 + C("l_linenumber")
+    o = (C("l_orderkey") * 10 + C("l_linenumber")) * 100000 + C("l_partkey")
     return table(spark, d, "lineitem").groupBy("l_linestatus").agg(f("aggregate.PivotToColumns", C("l_returnflag"), C("l_partkey"), o, ["A", "R"]).alias("p")).select("l_linestatus", "p.*")
 
 
