@@ -16,14 +16,12 @@ no window; an item id that repeats counts once; the benchmark may be empty.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, texts
+from .common import alnum_words, keep_rows, texts, tidied
 
 BLOCK = 8
 PART_BYTES = 32 << 20
@@ -145,7 +143,7 @@ def search(docs: DataFrame, benchmark: DataFrame, size: int = 10, part_bytes: in
 
         # The same number for a row in each pass: it counts within the partitions of the scan, which are the same each time.
         src = texts(docs, "doc_id").withColumn("doc_id", F.col("doc_id").cast("long"))
-        return src.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(run, schema)
+        return src.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(tidied(run), schema)
 
     found = job(parts[0])
     if len(parts) > 1:
@@ -172,22 +170,12 @@ def hit_words():
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
     """The rows of docs with no word inside an occurrence of a benchmark window; columns as given."""
     spark = docs.sparkSession
-    parts = parts_of(benchmark, size, PART_BYTES)
-    name = docs.columns
-    at = len(name)
-    for patterns in parts:
+    for patterns in parts_of(benchmark, size, PART_BYTES):
         held = spark.sparkContext.broadcast(patterns)
 
-        def run(batches, held=held):
+        def judge(held=held):
             searcher = Searcher(held.value)
-            for b in batches:
-                clean = [not searcher.search(t.as_py())[1] for t in b.column(at)]
-                yield b.filter(pa.array(clean)).select(range(at))
+            return lambda ts: [not searcher.search(t)[1] for t in ts]
 
-        with_bytes = docs.select(*name, F.col("text").cast("string").cast("binary").alias("__bytes"))
-        docs = with_bytes.mapInArrow(run, docs.schema)
+        docs = keep_rows(docs, judge)
     return docs
-
-
-def digest(items):
-    return hashlib.sha256(",".join(items).encode()).hexdigest()

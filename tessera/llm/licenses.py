@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, texts
+from .common import alnum_words, texts, tidied
 
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 RARE, SLACK, SHARE = 24, 6, 0.5
@@ -133,4 +133,4 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
 
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
     names = [f.split()[0] for f in schema.split(", ")]
-    return texts(docs, "doc_id").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, schema)
+    return texts(docs, "doc_id").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(tidied(run), schema)

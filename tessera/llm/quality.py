@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import split_of, texts
+from .common import keep_rows, split_of, texts, tidied
 from .toxicity import sample, sigmoid
 
 ROWS = 20_000
@@ -195,18 +195,15 @@ def score(docs: DataFrame, model: Gam) -> DataFrame:
             x = np.array([features(t.as_py()) for t in b.column(1)]).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held.value.score(x))], ["doc_id", "score"])
 
-    return texts(docs, "doc_id").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, score double")
+    return texts(docs, "doc_id").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(tidied(run), "doc_id long, score double")
 
 
 def keep_good(docs: DataFrame, model: Gam, least: float = 0.5) -> DataFrame:
     """The rows of docs with a score of at least `least`; columns as given."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    name = docs.columns
-    at = len(name)
 
-    def run(batches):
-        for b in batches:
-            x = np.array([features(t.as_py()) for t in b.column(at)]).reshape(-1, len(FEATURES))
-            yield b.filter(pa.array(held.value.score(x) >= least)).select(range(at))
+    def judge():
+        model = held.value
+        return lambda ts: model.score(np.array([features(t) for t in ts]).reshape(-1, len(FEATURES))) >= least
 
-    return docs.select(*name, F.col("text").cast("string").cast("binary").alias("__bytes")).mapInArrow(run, docs.schema)
+    return keep_rows(docs, judge)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import texts, tidied
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<[!?][^>]*>?|</\s*([a-zA-Z][^\s>/]*)[^>]*>?|<([a-zA-Z][^\s>/]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S
@@ -361,4 +361,4 @@ def extract(pages: DataFrame, column: str = "html", key: str = "page_id") -> Dat
             out = [render((t.as_py() or b"").decode("utf-8", "replace")) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], [key, "text"])
 
-    return texts(pages, key, text=column).withColumn(key, F.col(key).cast("long")).mapInArrow(run, f"`{key}` long, text string")
+    return texts(pages, key, text=column).withColumn(key, F.col(key).cast("long")).mapInArrow(tidied(run), f"`{key}` long, text string")

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_skewed, space_words, texts
+from .common import cut, join_skewed, space_words, texts, tidied
 
 MOST = 32
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -50,7 +50,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
     src = texts(docs, "doc_id").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return src.mapInArrow(run, "doc_id long, fp long")
+    return src.mapInArrow(tidied(run), "doc_id long, fp long")
 
 
 def links(fps: DataFrame, most: int = MOST) -> DataFrame:
