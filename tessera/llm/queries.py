@@ -31,6 +31,19 @@ def op3_decontaminate(spark, sf_dir):
     )
 
 
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLES["op3_decontaminate"] = f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+ b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+ v AS (SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS k FROM b WHERE len(w) > 0),
+ p AS (SELECT DISTINCT item_id, n, array_to_string(w[k:k + n - 1], ' ') AS s FROM v),
+ x AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM p)),
+ h AS (SELECT doc_id, item_id, k, p.n FROM (SELECT doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS s FROM x) y JOIN p ON y.n = p.n AND y.s = p.s),
+ t AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS place FROM h) GROUP BY 1),
+ i AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY 1)
+ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+ FROM d LEFT JOIN t USING (doc_id) LEFT JOIN i USING (doc_id)"""
+
+
 @query
 def op9_simhash(spark, sf_dir):
     from .simhash import fingerprint_hex, near_duplicates
