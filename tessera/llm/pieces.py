@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 
 import ahocorasick
 import numpy as np
@@ -26,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts, worker_cache
+from .common import texts, tidied, worker_cache
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-CACHE = 400_000
+CACHE = 250_000
 
 
 def _fields(data: bytes):
@@ -85,13 +86,18 @@ class Pieces:
         for s in self.id:
             if MARK in s.lstrip(MARK):
                 raise ValueError("a piece has the space mark after another character")
-        self.apart: dict[tuple[str, str], bool] = {}
+        self.apart: dict[int, bool] = {}
         #: Of each piece that merging makes: the two parts of its last merge.
         self.halves: dict[str, tuple[str, str]] = {}
         self.auto = ahocorasick.Automaton()
         for s in self.id:
             if not self.bpe or self.merge(s) == [s]:
-                self.auto.add_word(s, s)
+                self.auto.add_word(s, self.id[s] if self.bpe else s)
+        #: Whether all characters of pieces are pieces: then no merge can take in a character that is none.
+        self.closed = all(c in self.id for c in set("".join(self.id)))
+        if self.bpe and not self.closed:
+            raise ValueError("a character of a piece is no piece itself")
+        self.length = [len(s) for s in self.names]
         #: Pieces whose parts have better scores than they, down to characters: their merges come in the order of scores.
         self.ordered: set[str] = set()
         for s in sorted(self.halves, key=len):
@@ -111,7 +117,7 @@ class Pieces:
             def __missing__(self, part):
                 if len(self) >= CACHE:
                     self.clear()
-                out = self[part] = np.array(pieces.ids(pieces.path(part)), "<i4").tobytes()
+                out = self[part] = array("i", (pieces.merged if pieces.bpe else pieces.best)(part)).tobytes()
                 return out
 
         self.held = Held()
@@ -132,16 +138,16 @@ class Pieces:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def stay_apart(self, a: str, b: str) -> bool:
-        out = self.apart.get((a, b))
-        if out is None:
-            if len(self.apart) >= CACHE:
-                self.apart.clear()
-            if (len(a) == 1 or a in self.ordered) and (len(b) == 1 or b in self.ordered):
-                out = self.undo(a, b)
-            else:
-                out = self.merge(a + b) == [a, b]
-            self.apart[a, b] = out
+    def stay_apart(self, i: int, j: int) -> bool:
+        """Whether merging leaves the two pieces as they are."""
+        a, b = self.names[i], self.names[j]
+        if (len(a) == 1 or a in self.ordered) and (len(b) == 1 or b in self.ordered):
+            out = self.undo(a, b)
+        else:
+            out = self.merge(a + b) == [a, b]
+        if len(self.apart) >= CACHE:
+            self.apart.clear()
+        self.apart[i << 24 | j] = out
         return out
 
     def undo(self, a: str, b: str) -> bool:
@@ -162,63 +168,67 @@ class Pieces:
                     return False
         return True
 
-    def path(self, part: str) -> list[str]:
-        """The pieces, or single characters that are in no piece, of a part."""
-        n = len(part)
-        last: list[str | None] = [None] * n
-        if self.bpe:
-            apart, stay = self.apart, self.stay_apart
-            done = -1
-            for end, p in self.auto.iter(part):
-                if end == done:
+    def merged(self, part: str) -> list[int]:
+        """Ids of a part under a BPE model."""
+        n, length, stay, known = len(part), self.length, self.stay_apart, self.apart.get
+        last, done = [-1] * n, -1
+        for end, p in self.auto.iter(part):
+            if end == done:
+                continue
+            start = end - length[p]
+            if start >= 0 and (before := last[start]) >= 0:
+                ok = known(before << 24 | p)
+                if ok is None:
+                    ok = stay(before, p)
+                if not ok:
                     continue
-                start = end - len(p)
-                for lone in range(done + 1, end):
-                    last[lone] = part[lone]
-                if start < 0:
-                    last[end], done = p, end
-                else:
-                    done = max(done, end - 1)
-                    before = last[start] if last[start] is not None else part[start]
-                    ok = apart.get((before, p))
-                    if stay(before, p) if ok is None else ok:
-                        last[end], done = p, end
-        else:
-            best = [0.0] + [-1e300] * n
-            score, lone, done = self.score, self.lone, 0
-
-            def close(upto):
-                for i in range(done, upto):
-                    if best[i] + lone > best[i + 1] and (last[i] is None or len(last[i]) > 1 or part[i] not in score):
-                        if part[i] not in score:
-                            best[i + 1], last[i] = best[i] + lone, part[i]
-
-            for end, p in self.auto.iter(part):
-                if end > done:
-                    close(end)
-                    done = end
-                value = best[end + 1 - len(p)] + score[p]
-                if value > best[end + 1]:
-                    best[end + 1], last[end] = value, p
-            close(n)
+            last[end], done = p, end
+        out, at = [], n - 1
+        while at >= 0:
+            p = last[at]
+            if p < 0:
+                out += self.lone_ids(part[at])[::-1]
+                at -= 1
+            else:
+                out.append(p)
+                at -= length[p]
+        out.reverse()
+        return out if self.bytes else self.no_runs(out)
+
+    def lone_ids(self, c: str) -> list[int]:
+        """Ids of a character that is in no piece."""
+        return [self.bytes[b] for b in c.encode()] if self.bytes else [self.unk]
+
+    def no_runs(self, ids: list[int]) -> list[int]:
+        return [x for k, x in enumerate(ids) if x != self.unk or not k or ids[k - 1] != self.unk]
+
+    def best(self, part: str) -> list[int]:
+        """Ids of a part under a unigram model; of equal scores the longer last piece wins."""
+        n, score = len(part), self.score
+        best, last = [0.0] + [-1e300] * n, [""] * n
+        at = 0
+
+        def close(upto):
+            """Characters that are no piece, up to a position."""
+            for i in range(at, upto):
+                if part[i] not in score and best[i] + self.lone > best[i + 1]:
+                    best[i + 1], last[i] = best[i] + self.lone, part[i]
+
+        for end, p in self.auto.iter(part):
+            if end > at:
+                close(end)
+                at = end
+            value = best[end + 1 - len(p)] + score[p]
+            if value > best[end + 1]:
+                best[end + 1], last[end] = value, p
+        close(n)
         out, at = [], n
         while at:
-            p = last[at - 1] if last[at - 1] is not None else part[at - 1]
-            out.append(p)
+            p = last[at - 1]
+            out += [self.id[p]] if p in score else self.lone_ids(p)[::-1]
             at -= len(p)
-        return out[::-1]
-
-    def ids(self, path: list[str]) -> list[int]:
-        out = []
-        for p in path:
-            i = self.id.get(p)
-            if i is not None:
-                out.append(i)
-            elif self.bytes:
-                out += [self.bytes[b] for b in p.encode()]
-            elif not out or out[-1] != self.unk:
-                out.append(self.unk)
-        return out
+        out.reverse()
+        return out if self.bytes else self.no_runs(out)
 
     def encode(self, text: str | None) -> np.ndarray:
         text = text or ""
@@ -279,7 +289,7 @@ def encode(docs: DataFrame, model: bytes, with_ids: bool = True) -> DataFrame:
 
     schema = "doc_id long, n_chars long, n_pieces long, n_bytes long, ids_sha256 string, round_trip boolean" + ", ids array<int>" * with_ids
     names = [f.split()[0] for f in schema.split(", ")]
-    return texts(docs, "doc_id").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, schema)
+    return texts(docs, "doc_id").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(tidied(run), schema)
 
 
 def decode(encoded: DataFrame, model: bytes, ids: str = "ids") -> DataFrame:
@@ -292,4 +302,4 @@ def decode(encoded: DataFrame, model: bytes, ids: str = "ids") -> DataFrame:
             out = [p.decode(x.as_py() or []) for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["doc_id", "text"])
 
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(ids)).mapInArrow(run, "doc_id long, text string")
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(ids)).mapInArrow(tidied(run), "doc_id long, text string")
