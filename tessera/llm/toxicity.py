@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, split_of, texts
+from .common import alnum_words, split_of, texts, tidied
 
 ROWS = 16_000
 TABLES, SIZE, DIM = 3, 1 << 17, 4
@@ -211,7 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = 5, out: int = 0, rows: in
             h = [hashes(t.as_py()).tobytes() for t in b.column(3)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(h, pa.binary())], ["i", "y", "lang", "h"])
 
-    got = rows_.mapInArrow(run, "i long, y int, lang string, h binary").toArrow().to_pylist()
+    got = rows_.mapInArrow(tidied(run), "i long, y int, lang string, h binary").toArrow().to_pylist()
     got.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r["i"]).encode()), r["i"], r["h"]))
     return train([np.frombuffer(r["h"], np.uint64) for r in got], np.array([r["y"] for r in got]), [r["lang"] for r in got])
 
@@ -226,15 +226,23 @@ def score(docs: DataFrame, net: Net) -> DataFrame:
         digest = xxhash.xxh64_intdigest
         rows = [np.zeros(TABLES, np.int64)]
 
-        class Known(dict):
-            def __missing__(self, w):
-                _, at, r = net.sparse(np.array([digest(w, 7)], np.uint64))
-                if len(at):
-                    rows.append(r[0])
-                out = self[w] = len(rows) - 1 if len(at) else 0
-                return out
+        known: dict[bytes, int] = {}
+
+        def learn(words):
+            """Files new words: 0 for those without a live row, else the number of their rows."""
+            new = [w for w in set(words) if w not in known]
+            if not new:
+                return
+            if len(known) + len(new) > 400_000:
+                known.clear()
+                del rows[1:]
+                new = list(set(words))
+            known.update(dict.fromkeys(new, 0))
+            _, at, r = net.sparse(np.fromiter((digest(w, 7) for w in new), np.uint64, len(new)))
+            for k, row in zip(at, r, strict=True):
+                known[new[k]] = len(rows)
+                rows.append(row)
 
-        known = Known()
         for b in batches:
             scores = np.empty(b.num_rows)
             docs_, where = [], []
@@ -247,9 +255,7 @@ def score(docs: DataFrame, net: Net) -> DataFrame:
 
             for i, t in enumerate(b.column(2)):
                 words = alnum_words(t.as_py())
-                if len(known) + len(words) > 400_000:
-                    known.clear()
-                    del rows[1:]
+                learn(words)
                 ids = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
                 at = np.flatnonzero(ids)
                 docs_.append((len(words), at, np.array([rows[k] for k in ids[at]], np.int64).reshape(-1, TABLES)))
@@ -267,4 +273,4 @@ def score(docs: DataFrame, net: Net) -> DataFrame:
             )
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), F.col("text").cast("string").cast("binary").alias("text"))
-    return src.mapInArrow(run, "doc_id long, lang string, score double, lang_threshold double, flagged boolean")
+    return src.mapInArrow(tidied(run), "doc_id long, lang string, score double, lang_threshold double, flagged boolean")
