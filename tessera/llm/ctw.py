@@ -112,14 +112,14 @@ def count(docs: DataFrame, depth: int) -> DataFrame:
                 size += len(text)
                 if size > PIECE:
                     take()
-                    if held > 6_000_000:
+                    if held > 3_000_000:
                         merged = merge(codes, counts)
                         codes[:], counts[:] = [merged[0]], [merged[1]]
                         held = len(merged[0])
-                        if held > 3_000_000:
+                        if held > 1_500_000:
                             yield from strings()
                             held = 0
-                if len(words) > 600_000:
+                if len(words) > 300_000:
                     yield from rows(0, list(words), list(words.values()))
                     words.clear()
         take()
