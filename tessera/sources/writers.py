@@ -7,7 +7,7 @@ import json
 import uuid
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.delta import apply
@@ -84,27 +84,33 @@ def replace(df: DataFrame, path: str, kind: str = "parquet") -> None:
         delete(spark, old)
 
 
-def run(df: DataFrame, target: Target, key: str | None = None, incremental: str | None = None) -> Audit:
-    """Writes a DataFrame, with an operation column or without, and tells what was done. Operations are counted while rows are written.
+def run(df: DataFrame, target: Target, key: str | None = None, incremental: str | None = None, counted: bool = True) -> Audit:
+    """Writes a DataFrame, with an operation column or without, and tells what was done.
+
+    Operations are counted in the table of changes that is written first. Rows without operations are counted by a second pass over df, unless
+    `counted` is False. (An Observation would count in the same pass, but once one is used, a session can't be sent to tasks, as pyspark.ml does.)
 
     With operations, creates are appended, and updates and deletes applied by `key` to the whole target, which is replaced at once; rejects go
     to the target's folder for them.
     """
     spark = df.sparkSession
     audit = Audit(uuid.uuid4().hex, dt.datetime.now(dt.UTC).isoformat())
-    seen = Observation()
+    seen: dict = {}
     op = F.col("operation") if "operation" in df.columns else F.lit("C")
     marks = [F.count(F.lit(1)).alias("rows_read"), *[F.count_if(op == o).alias(n) for o, n in (("C", "created"), ("U", "updated"), ("D", "deleted"), ("R", "rejected"))]]
     if incremental:
         marks.append(F.max(incremental).cast("string").alias("high_water"))
     try:
         if "operation" not in df.columns:
-            write(df.observe(seen, *marks), target)
+            write(df, target)
+            if counted:
+                seen = df.agg(*marks).first().asDict()
         else:
             # one pass over the changes, kept for the writes that follow
             held = f"{target.path}.changes-{audit.audit_key}"
-            df.observe(seen, *marks).write.parquet(held)
+            df.write.parquet(held)
             changes = spark.read.schema(df.schema).parquet(held)
+            seen = changes.agg(*marks).first().asDict()
             try:
                 if target.rejects:
                     changes.filter("operation = 'R'").write.mode("append").parquet(target.rejects)
@@ -119,7 +125,7 @@ def run(df: DataFrame, target: Target, key: str | None = None, incremental: str
                     write(body.filter("operation = 'C'").drop(*drop), target)
             finally:
                 delete(spark, held)
-        for k, v in seen.get.items():
+        for k, v in seen.items():
             setattr(audit, k, v)
         audit.status = "passed"
     except Exception as e:
