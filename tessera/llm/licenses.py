@@ -1,11 +1,12 @@
 """License scans with a positional index of rare words.
 
 The index holds, for each licence template, the positions of its rare words: those in few templates, so of high inverse document
-frequency (IDF). Of a text, the `RARE` licence words of highest IDF are looked up, with all their positions. A posting at position p
-of a template and a text position t vote for the template standing at t - p; positions may slip by `SLACK` words, to
-allow for changed names and years. Where a template gathers enough of its rare words, its mandatory key phrases are looked for in the text
-between there and the template's end; only if all stand there, in order, does the template's label count. The score is the share of the
-template's rare words found in place, the best over labels; it is 1 where a base phrase stands.
+frequency (IDF). Of a text, every word in the index is looked up, with all its positions, so what else the text holds can't crowd a notice out. A
+posting at position p of a template and a text position t vote for the template standing at t - p; positions may slip by `SLACK` words, to
+allow for changed names and years. Where a template gathers enough of its rare words (half of them, half of `RARE` at most), its mandatory key phrases
+are looked for in the text between there and the template's end; only if all stand there, in order, does the template's label count. The score is the
+share of the template's rare words found in place, the best over labels; it is 1 where a base phrase stands. Votes are counted and dropped every
+`FLUSH` words, so that they stay few in long texts.
 
 Defined results: null and empty texts have no words, no labels and score 0. Every row gives one row.
 """
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import alnum_words, texts, tidied
 
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-RARE, SLACK, SHARE = 24, 6, 0.5
+RARE, SLACK, SHARE, FLUSH = 24, 6, 0.5, 4096
 #: label, notice, phrases that must stand in it (in order).
 TEMPLATES = (
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software", ("permission is hereby granted free of charge", "sublicense and or sell")),
@@ -60,15 +61,15 @@ class Index:
         words = [(label, alnum_words(text.encode()), [alnum_words(p.encode()) for p in phrases]) for label, text, phrases in templates]
         within = Counter(w for _, ws, _ in words for w in set(ws))
         self.idf = {w: math.log(len(words) / n) for w, n in within.items()}
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        self.postings: dict[bytes, list[tuple[int, int, int]]] = defaultdict(list)
         self.templates = []
         for t, (label, ws, phrases) in enumerate(words):
             # the rarest words of a template: its better half by IDF, three at least
             order = sorted(set(ws), key=lambda w: (-self.idf[w], w))
-            rare = set(order[: max(3, len(order) // 2)])
+            rare = {w: 1 << k for k, w in enumerate(order[: max(3, len(order) // 2)])}
             for i, w in enumerate(ws):
                 if w in rare:
-                    self.postings[w].append((t, i))
+                    self.postings[w].append((t, i, rare[w]))
             self.templates.append((label, len(ws), len(rare), [b" " + b" ".join(p) + b" " for p in phrases]))
         self.base = [(b" " + p.encode() + b" ", label) for p, label in base]
 
@@ -85,33 +86,41 @@ class Index:
                 starts.append(flat.count(b" ", 0, at))
                 labels.add(label)
                 at = flat.find(p, at + 1)
-        present = self.postings.keys() & set(words)
         out: dict[str, float] = {}
-        if present:
-            rarest = set(sorted(present, key=lambda w: (-self.idf[w], w))[:RARE])
-            votes: dict[tuple[int, int], set[bytes]] = defaultdict(set)
-            for at, w in enumerate(words):
-                if w in rarest:
-                    for t, i in self.postings[w]:
+        if not self.postings.keys().isdisjoint(words):
+            longest = max(length for _, length, _, _ in self.templates)
+            # (template, cell): bits of the rare words seen there
+            votes: dict[tuple[int, int], int] = {}
+            for lo in range(0, len(words), FLUSH):
+                for at, w in enumerate(words[lo : lo + FLUSH], lo):
+                    for t, i, bit in self.postings.get(w, ()):
                         cell = (at - i) // SLACK
-                        votes[t, cell].add(w)
-                        votes[t, cell + 1].add(w)
-            for (t, cell), seen in votes.items():
-                label, length, rare, phrases = self.templates[t]
-                if len(seen) >= max(1, SHARE * min(rare, RARE)) and out.get(label, 0.0) < len(seen) / rare:
-                    lo = max(0, (cell - 1) * SLACK)
-                    part = b" " + b" ".join(words[lo : max(0, (cell + 1) * SLACK) + length + 2 * SLACK]) + b" "
-                    at = 0
-                    for p in phrases:
-                        at = part.find(p, at)
-                        if at < 0:
-                            break
-                    else:
-                        out[label] = max(out.get(label, 0.0), min(1.0, len(seen) / rare))
+                        votes[t, cell] = votes.get((t, cell), 0) | bit
+                        votes[t, cell + 1] = votes.get((t, cell + 1), 0) | bit
+                # later words vote for cells from here on
+                still = (lo + FLUSH - longest) // SLACK if lo + FLUSH < len(words) else math.inf
+                self._judge(words, {k: v for k, v in votes.items() if k[1] < still}, out)
+                votes = {k: v for k, v in votes.items() if k[1] >= still}
         for label in labels:
             out[label] = 1.0
         return len(words), sorted(starts), labels, out
 
+    def _judge(self, words: list[bytes], votes: dict[tuple[int, int], int], out: dict[str, float]):
+        """Adds to out the labels of templates that have enough votes in a cell, and their phrases there."""
+        for (t, cell), bits in votes.items():
+            label, length, rare, phrases = self.templates[t]
+            seen = bits.bit_count()
+            if seen >= max(1, SHARE * min(rare, RARE)) and out.get(label, 0.0) < seen / rare:
+                lo = max(0, (cell - 1) * SLACK)
+                part = b" " + b" ".join(words[lo : max(0, (cell + 1) * SLACK) + length + 2 * SLACK]) + b" "
+                at = 0
+                for p in phrases:
+                    at = part.find(p, at)
+                    if at < 0:
+                        break
+                else:
+                    out[label] = seen / rare
+
 
 def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every row; no shuffle."""

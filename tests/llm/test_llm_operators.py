@@ -313,6 +313,23 @@ def test_licenses(spark, docs):
     assert licenses.scan(docs).count() == docs.count()
 
 
+def test_licenses_beside_other_text():
+    index = licenses.Index()
+    notice = {label: text for label, text, _ in reversed(licenses.TEMPLATES)}
+    found = lambda *parts: set(index.scan("\n".join(parts).encode())[3])
+    assert found(notice["mit"], notice["apache-2"], notice["bsd-2"]) == {"mit", "apache-2", "bsd-2"}
+    assert found(notice["mit"], notice["bsd-2"], notice["bsd-3"]) == {"mit", "bsd-2", "bsd-3"}
+    assert found(*(text for _, text, _ in licenses.TEMPLATES)) == {label for label, _, _ in licenses.TEMPLATES}
+    r = random.Random(3)
+    prose = [w.decode() for w in sorted(index.postings)] + "the cat sat by a river and sang to its kin of old".split()
+    long = " ".join(r.choice(prose) for _ in range(3 * licenses.FLUSH))
+    for label in ("mit", "isc", "bsd-2", "apache-2", "mpl-2"):
+        assert label not in found(long)
+        # across a flush as well as inside one
+        for at in (100, licenses.FLUSH - 20, licenses.FLUSH + 5):
+            assert label in found(*long.split(" ")[:at], notice[label], *long.split(" ")[at:])
+
+
 # --- 9 --------------------------------------------------------------------------------------------------------------
 
 
