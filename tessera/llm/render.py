@@ -4,7 +4,8 @@ A tokenizer reads tags, comments and character data; a tree builder adds the tag
 dt, dd, tr, td, th, option and headings) and closes what is left open. The renderer walks the tree without recursion and emits all visible
 text: script, style, head, templates and the like have none, nor have elements hidden by attribute or inline style. White space collapses
 except in pre and textarea; blocks stand on lines of their own, with a blank line around paragraphs, headings, lists and tables; list items
-get marks, indented by depth; cells of a table row are padded to the width of their column, so that columns line up.
+get marks, indented by depth; cells of a table row are padded to the width of their column, so that columns line up; what stands in a table, its
+sections or its rows but in no cell goes before the rows.
 
 Defined results: null and empty pages render as the empty text; text outside any tag is visible; unknown tags are inline; anything
 that isn't well formed still renders.
@@ -31,6 +32,8 @@ GONE = frozenset("head script style template noscript title meta link base ifram
 BLOCK = frozenset("address article aside blockquote body center details div dl dt dd fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table ul tr caption tbody thead tfoot option".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure menu hr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+CELLS = frozenset(["td", "th"])
+SECTIONS = frozenset(["tbody", "thead", "tfoot", "tr"])
 #: A start tag closes open elements of the second set, up to one of the third.
 CLOSES = {
     **{t: (frozenset(["p"]), frozenset(["table", "td", "th", "button"])) for t in BLOCK - {"li", "dt", "dd", "tr", "tbody", "thead", "tfoot", "option", "body", "html", "caption"}},
@@ -232,25 +235,59 @@ class _Flow:
         self.blank = bool(self.lines)
 
 
-def _rows(table: Node) -> list[list[Node]]:
-    out, todo = [], [table]
+def _holders(table: Node) -> set[int]:
+    """Ids of the elements inside a table, not inside its cells, that hold rows or cells somewhere."""
+    out, up, todo = set(), {}, [table]
     while todo:
         node = todo.pop()
-        if node.hidden:
+        for c in node.children:
+            if not isinstance(c, Node) or c.hidden or c.tag in GONE or c.tag == "table":
+                continue
+            if c.tag in CELLS or c.tag in SECTIONS:
+                k = node
+                while k is not None and id(k) not in out:
+                    out.add(id(k))
+                    k = up.get(id(k))
+            if c.tag not in CELLS:
+                up[id(c)] = node
+                todo.append(c)
+    return out
+
+
+def _parts(table: Node) -> tuple[list[list[Node]], list[Node]]:
+    """Rows of cells of a table, and divs of all else: one of what stands in the table itself, then one for each row or section.
+
+    Elements around rows or cells, such as forms, are looked through.
+    """
+    holders = _holders(table)
+    rows: list[list[Node]] = [[]]
+    strays = [Node("div")]
+    # what stands there, and the row and the div that it belongs to
+    todo: list = [(c, rows[0], strays[0]) for c in reversed(table.children)]
+    while todo:
+        node, row, stray = todo.pop()
+        if not isinstance(node, Node):
+            stray.children.append(node)
+        elif node.hidden:
             continue
-        if node.tag == "tr":
-            out.append([c for c in node.children if isinstance(c, Node) and c.tag in ("td", "th") and not c.hidden])
+        elif node.tag in CELLS:
+            row.append(node)
+        elif node.tag in SECTIONS or node.tag in ("colgroup", "col") or id(node) in holders and node.tag not in GONE and node.tag not in ("table", "caption"):
+            if node.tag in SECTIONS:
+                row, stray = [], Node("div")
+                rows.append(row)
+                strays.append(stray)
+            todo += [(c, row, stray) for c in reversed(node.children)]
         else:
-            todo += reversed([c for c in node.children if isinstance(c, Node) and c.tag in ("tbody", "thead", "tfoot", "tr")])
-    return [r for r in out if r]
+            stray.children.append(node)
+    return [r for r in rows if r], strays
 
 
 def _table(table: Node, depth: int) -> list[str]:
     """Lines of a table: captions and stray content first, then rows with aligned cells."""
-    before = Node("div")
-    before.children = [c for c in table.children if not isinstance(c, Node) or c.tag not in ("tbody", "thead", "tfoot", "tr", "colgroup", "col")]
-    out = _render(before, depth + 1)
-    rows = [[[x for x in _render(c, depth + 1) if x] or [""] for c in r] for r in _rows(table)]
+    found, strays = _parts(table)
+    out = [x for s in strays for x in _render(s, depth + 1)]
+    rows = [[[x for x in _render(c, depth + 1) if x] or [""] for c in r] for r in found]
     if not rows:
         return out
     width = [0] * max(map(len, rows))

@@ -293,6 +293,16 @@ def test_render(html, text):
     assert render.render(html) == text
 
 
+@pytest.mark.parametrize(("html", "text"), [
+    ("<table><tr><td>a</td></tr>stray</table>", "stray\na"), ("<table><tr>text<td>x</table>", "text\nx"), ("<table><tr><form><td>x</td></form></tr></table>", "x"),
+    ("<table>top<caption>c</caption><tr><form>in <a href=u>link</a><td>a<td>b</form></tr><tbody><div><tr><td>long<td>d</div></table>end", "top\nc\nin link\na     b\nlong  d\n\nend"),
+    ("<table><form><td>a<td>b</td></form><colgroup>cols<col></colgroup><tr hidden>no<td>no</tr><tr><script>no</script><td><table><tr>in<td>t</table></table>", "cols\na   b\nin\nt"),
+])
+def test_render_outside_cells(html, text):
+    assert render.render(html) == text
+    assert render.render("<table><tr>" + "<form><b>" * 5000 + "<td>deep") == "deep"
+
+
 def test_render_deep_and_odd(spark):
     assert render.render("<div>" * 5000 + "deep") == "deep"
     assert render.render("<table><tr><td>" * 60 + "deep").strip() == "deep"
