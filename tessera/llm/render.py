@@ -28,6 +28,8 @@ TOKEN = re.compile(
 ATTRS = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.S)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+#: Searched in the text itself: lower-casing can change its length.
+ENDS = {t: re.compile("</" + t, re.I | re.A) for t in RAW}
 GONE = frozenset("head script style template noscript title meta link base iframe object embed svg math canvas audio video map datalist dialog noembed noframes select".split())
 BLOCK = frozenset("address article aside blockquote body center details div dl dt dd fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table ul tr caption tbody thead tfoot option".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure menu hr".split())
@@ -91,7 +93,6 @@ def parse(text: str) -> Node:
             stack.append(node)
 
     at, n = 0, len(text)
-    lower = None
     while at < n:
         m = TOKEN.search(text, at)
         chars = text[at : m.start() if m else n]
@@ -150,10 +151,8 @@ def parse(text: str) -> Node:
             node = _open(tag, m[3])
             stack[-1].children.append(node)
             if tag in RAW:
-                if lower is None:
-                    lower = text.lower()
-                end = lower.find("</" + tag, at)
-                end = n if end < 0 else end
+                end = ENDS[tag].search(text, at)
+                end = end.start() if end else n
                 inner = text[at:end]
                 if tag in ("textarea", "title"):
                     node.children.append(html.unescape(inner))

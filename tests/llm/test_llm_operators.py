@@ -303,6 +303,11 @@ def test_render_outside_cells(html, text):
     assert render.render("<table><tr>" + "<form><b>" * 5000 + "<td>deep") == "deep"
 
 
+def test_render_ends_after_dotted_capitals():
+    assert render.render("İ" * 12 + "<script>x</SCRIPT>Hello <b>world</b>") == "İ" * 12 + "Hello world"
+    assert render.render("İ" * 300 + "<style>x</ſtyle></style>a <textarea>b</TextArea>c") == "İ" * 300 + "a bc"
+
+
 def test_render_deep_and_odd(spark):
     assert render.render("<div>" * 5000 + "deep") == "deep"
     assert render.render("<table><tr><td>" * 60 + "deep").strip() == "deep"
