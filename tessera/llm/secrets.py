@@ -4,7 +4,7 @@ Base kinds are matched by pattern: `assign`, `access` and `hex`. Positions are i
 pieces between them (extract and split by the same pattern) give lengths, and their running sums give starts.
 
 The battery adds spans of kind `random`. A candidate is a run of 20 or more characters of the base64 alphabets. Its encoding is inferred
-from its characters (hex, base32, else base64; runs of letters of one case alone, or of digits alone, have none). Against "uniform
+from its characters (hex, base32, digits and letters of one case, else base64; runs of letters of one case alone, or of digits alone, have none). Against "uniform
 over that alphabet" it is tested by chi-squared over character counts, by the number of runs above and below the alphabet's
 middle, and by lag-one serial correlation; the smallest p-value, times three, is the combined one, and under `REJECT` it ends the matter. Against "ordinary
 text in that alphabet" the chi-squared statistic has a noncentrality that grows with the length, so its lower tail is a p-value
@@ -26,11 +26,13 @@ TOKEN = r"[A-Za-z0-9+/_-]{20,}+"
 KINDS = ("assign", "access", "hex", "random")
 FDR, REJECT = 0.01, 0.001
 AS = "__found"
-#: Alphabet in order, its size, excess of the chi-squared statistic per character for ordinary text.
+#: Alphabet in order, its size, excess of the chi-squared statistic per character for ordinary text, and the size of the alphabet that this is stated over.
 ENCODINGS = {
-    "hex": ("0123456789abcdef", 16, 1.2),
-    "base32": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 32, 1.1),
-    "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 64, 2.9),
+    "hex": ("0123456789abcdef", 16, 1.2, 16),
+    "base32": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 32, 1.1, 32),
+    # text of one case is told apart as over base64, where the test is stronger for short runs
+    "base36": ("0123456789abcdefghijklmnopqrstuvwxyz", 36, 2.9, 64),
+    "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 64, 2.9, 64),
 }
 
 
@@ -91,6 +93,7 @@ def encoding(hit: Column) -> Column:
         F.when(body.rlike("^([a-z]+|[A-Z]+|[0-9]+|[A-Z]?[a-z]+)$"), F.lit(None).cast("string"))
         .when(hit.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex")
         .when(hit.rlike("^[A-Z2-7]+$"), "base32")
+        .when(hit.rlike("^([a-z0-9]+|[A-Z0-9]+)$"), "base36")
         .otherwise("base64")
     )
 
@@ -99,8 +102,8 @@ def battery(hit: Column) -> Column:
     """Struct of p_random (combined p-value against randomness) and p_text (against ordinary text); null without an encoding."""
 
     def by(name):
-        letters, size, excess = ENCODINGS[name]
-        plain = F.lower(hit) if name == "hex" else F.translate(hit, "-_", "+/")
+        letters, size, excess, over = ENCODINGS[name]
+        plain = F.lower(hit) if name in ("hex", "base36") else F.translate(hit, "-_", "+/")
 
         def values(idx):
             n = F.size(idx).cast("double")
@@ -132,7 +135,7 @@ def battery(hit: Column) -> Column:
                 p = [1 - phi(chi), 2 * (1 - phi(runs)), 2 * (1 - phi(serial))]
                 worst = F.least(*p) * 3
                 away = n * excess
-                text = phi((x - df - away) / F.sqrt(2 * (df + 2 * away)))
+                text = phi(((x + n) * (over / size) - n - (over - 1.0) - away) / F.sqrt(2 * (over - 1.0 + 2 * away)))
                 return F.struct(F.least(worst, F.lit(1.0)).alias("p_random"), text.alias("p_text"))
 
             return let(squares * size / n - n, tests)
