@@ -6,8 +6,8 @@ the whole text, and a logistic layer weighs the maxima. Only rows whose words go
 in `SEEN` texts or more) are trained; all other rows stay zero, so rare and new words say nothing, and a text's convolution is
 computed only where a window holds a trained row. The maximum counts the empty window beside the text as well.
 
-Training uses at most `ROWS` labelled rows, those with the smallest hash of doc_id, and of these the first that have `CHARS` characters together
-at most (so that the driver holds them); they are whole texts. A part of them (one in five) is not
+Training uses at most `ROWS` labelled rows, those with the smallest hash of doc_id, and of these, in that order, each that fits into
+`CHARS` characters together with those taken before (so that the driver holds them); they are whole texts. A part of them (one in five) is not
 trained on: a logistic fit on it makes scores probabilities, and the threshold of each language is the one of best F1 there (0.5 where a
 language has fewer than `PER_LANG` toxic rows in it). A score never depends on lang; thresholds are applied afterwards.
 
@@ -209,10 +209,9 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = 5, out: int = 0, rows: in
     sizes = rows_.groupBy("__id").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("n"), F.min(F.xxhash64("__id")).alias("h")).toArrow().to_pylist()
     total, chosen = 0, []
     for r in sorted(sizes, key=lambda r: (r["h"], r["__id"])):
-        total += r["n"]
-        if total > CHARS:
-            break
-        chosen.append((r["__id"],))
+        if total + r["n"] <= CHARS:
+            total += r["n"]
+            chosen.append((r["__id"],))
     if len(chosen) < len(sizes):
         rows_ = rows_.join(F.broadcast(docs.sparkSession.createDataFrame(chosen, "__id long")), "__id", "left_semi")
 

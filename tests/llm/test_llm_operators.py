@@ -171,6 +171,15 @@ def test_toxicity(labelled):
     assert {r["score"] for r in toxicity.score(docs, toxicity.fit(docs, labels.limit(0))).collect()} == {0.5}
 
 
+def test_toxicity_sample_goes_on_after_a_long_text(spark, labelled, monkeypatch):
+    docs, labels = labelled
+    first = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).orderBy(F.xxhash64(F.col("doc_id").cast("long"))).first()["doc_id"]
+    monkeypatch.setattr(toxicity, "CHARS", 1_000_000)
+    long = docs.withColumn("text", F.when(F.col("doc_id") == first, F.repeat(F.lit("x "), 600_000)).otherwise(F.col("text")))
+    net = toxicity.fit(long, labels)
+    assert net.constant is None and accuracy(toxicity.score(docs, net), 5, 0, lambda i: i % 5 == 0) > 0.95
+
+
 def test_toxicity_sparse_is_dense():
     net = toxicity.Net()
     r = np.random.default_rng(2)
