@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DIMS, SURE, LEAF = 10, 0.98, 512
+#: Added to squared distances, as copies are apart by rounding.
+ROUNDING = 1e-12
 BLOCK, CHUNK = 32_768, 1_024
 
 
@@ -90,7 +92,7 @@ def search_block(ids, x, qids, q, k: int, dims: int = DIMS, sure: float = SURE):
             top = np.lexsort((i, -s))[:k]
             best_s, best_i = s[top], i[top]
             if len(top) == k:
-                reach = limit * max(2 - 2 * best_s[-1], 0) * (1 + 1e-9)
+                reach = limit * max(2 - 2 * best_s[-1], 0) * (1 + 1e-9) + ROUNDING
         out_q += [qi] * len(best_i)
         out_i.append(best_i)
         out_s.append(best_s)

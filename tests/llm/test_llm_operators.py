@@ -254,6 +254,18 @@ def test_neighbours(spark):
     assert ann.nearest(df.limit(0)).count() == 0
 
 
+def test_neighbours_among_copies():
+    r = np.random.default_rng(4)
+    for _ in range(20):
+        v = r.integers(-9, 10, size=32).astype(float)  # whole numbers, so that sums are exact
+        x = v * r.integers(1, 99, size=(3000, 1))
+        ids = r.permutation(3000) + 1
+        s = np.einsum("ij,j->i", x, v) / (np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(v @ v))
+        _, got, score = ann.search_block(ids, x, np.array([0]), v[None], 5)
+        want = np.lexsort((ids, -s))[:5]
+        assert score.tolist() == s[want].tolist() and got.tolist() == ids[want].tolist()
+
+
 def test_chi_square():
     assert math.isclose(ann.chi_square_quantile(0.95, 10), 18.307, rel_tol=1e-4)
 
