@@ -8,13 +8,20 @@ then frozen; a decision's probability is the mixture along the path of its conte
 code length per byte is minus the base-2 logarithm of a text's probability over its bytes, the closing one included.
 
 How it runs. One pass counts words and (depth + 1)-byte strings of the training rows, summed within tasks first, then by key over the cluster; what
-is gathered grows with the corpus. Strings are split by the two bytes before the last, which all deeper nodes of a path share, into as many
-parts as keep each at about `PART` strings; a part's tree is built (in units of about `UNIT`) and shipped by itself, and a text's score
-is the sum over parts (one pass for each). Words are priced in two ways: those with more than a 2**-20 share of the training tokens, of which there can't be more than
-2**20, are broadcast; all others are joined by word, with the rows' counts of them.
+is gathered grows with the corpus. Strings are dealt to units of about `UNIT` by the two bytes before the last, which all deeper nodes of a path
+share, so that each unit's tree is built by itself, in a task. Only nodes of depth 0 and 1 lie in several units: at most 65,536 by their byte
+and bits, their sums go to the driver and back. Two kinds of strings are priced in two ways, as are words:
+
+* those with more than a 2**-22 share of the training bytes (words: a 2**-20 share of the tokens) can't be more than 2**22 (2**20); their
+  prices are broadcast, and the one pass over the texts sums them up there;
+* all others are packed by that pass, unit by unit, and sent to the unit's tree, which is streamed the packs of its strings and prices them.
+  A unit that many packs ask for is built in several tasks, each with a share of the packs.
+
+So the driver holds no tree, no table but the bounded ones, and each text is read once to count and once to score.
 
 Defined results: null and empty texts have the end token only; a null doc_id counts as the empty text when rows are dealt; repeated rows each
-get their row; without training rows every probability is 1/2 a bit, and base is log10(0.1 / 0.1).
+get their row; without training rows every probability is 1/2 a bit, and base is log10(0.1 / 0.1). Columns of docs other than doc_id and text
+(and those that `train` names) are neither read nor returned, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -29,9 +36,11 @@ from pyspark.sql import functions as F
 from .common import cut, space_words, split_of, tidied
 
 DEPTH = 5
-PART = 3_000_000
-UNIT = 250_000
-HEAVY = 1 << 20
+UNIT = 100_000
+#: Shares of the training tokens and bytes above which a word or string is priced by broadcast.
+HEAVY, HEAVY_STRINGS = 1 << 20, 1 << 22
+#: Positions that a unit's task is sent, about; a unit with more is built in several tasks.
+ASKED = 20_000_000
 END = b"\n"  # can't be part of a word
 PIECE = 4 << 20
 HALF = np.log10(0.5)
@@ -205,6 +214,14 @@ class Tree:
             first = np.flatnonzero(np.concatenate([[True], np.diff(key[o]) != 0]))
             self.up = (key[o][first], np.add.reduceat(log[o], first))
 
+    @classmethod
+    def bare(cls, depth: int, upper: dict[int, Level]) -> Tree:
+        """A tree of the shared nodes only."""
+        tree = cls.__new__(cls)
+        none = (np.array([np.iinfo(np.uint64).max], np.uint64), np.zeros(1, np.float32), np.zeros(1, np.float32))
+        tree.depth, tree.nodes = depth, {d: none for d in range(depth + 1)} | {d: (v.key, v.s, v.r) for d, v in upper.items()}
+        return tree
+
     @staticmethod
     def weigh(level: Level, d: int, below) -> tuple[np.ndarray, np.ndarray]:
         """Sets log (weighted block probability) and w (the own estimate's share) of the nodes; returns their parents and logs."""
@@ -278,62 +295,104 @@ def roots(trees_up: list, code_counts: list, depth: int) -> dict[int, Level]:
     return out
 
 
-def join_trees(trees: list[Tree]) -> Tree | None:
-    """One tree of several whose nodes differ from depth 2 on."""
-    if len(trees) < 2:
-        return trees[0] if trees else None
-    out = trees[0]
-    out.code, out.logs = np.concatenate([t.code for t in trees]), np.concatenate([t.logs for t in trees])
-    for d in list(out.nodes):
-        if d >= out.low:
-            cols = [np.concatenate([t.nodes[d][i] for t in trees]) for i in range(3)]
-            for t in trees[1:]:
-                del t.nodes[d]
-            o = np.argsort(cols[0])
-            out.nodes[d] = tuple(c[o] for c in cols)
-    return out
+def unit_of(code, units: int):
+    """The unit of strings: by the two bytes before the last, for numpy arrays."""
+    return ((code >> np.uint64(8)) & np.uint64(0xFFFF)) * np.uint64(40503) % np.uint64(65536) % np.uint64(units)
+
+
+def raw(a: np.ndarray, kind: str) -> bytes:
+    return a.astype(kind).tobytes()
 
 
-def build(strings: DataFrame, depth: int = DEPTH, part: int = PART, unit: int = UNIT):
-    """(number of parts, iterator of (part, tree)). The driver builds a unit at a time, and joins a part's units."""
-    total = strings.count()
-    parts = max(1, -(-total // part))
-    units = parts * max(1, -(-total // (parts * unit)))
-    number = F.conv(F.hex("key"), 16, 10).cast("long").alias("code")
-    rows = strings.select(number, "n").withColumn("unit", F.shiftright("code", 8).bitwiseAND(0xFFFF) * 40503 % 65536 % units)
-
-    def fetch(i):
-        t = rows.filter(F.col("unit") == i).select("code", "n").toArrow()
-        return merge([t.column("code").to_numpy().astype(np.uint64)], [t.column("n").to_numpy().astype(float)])
-
-    upper_code, ups = [], []
-    first = None
-    for i in range(units):
-        code, n = fetch(i)
-        if len(code):
-            tree = Tree(code, n, depth)
-            if tree.low:
-                ups.append(tree.up)
-                upper_code.append(merge([code & np.uint64(0xFFFF)], [n]))
-            first = tree if units == 1 else None
-    upper = roots(ups, upper_code, depth) if ups else {}
-    for d in sorted(upper):
-        Tree.spread(None, upper[d], d, upper.get(d - 1))
-
-    def trees():
-        for p in range(parts):
-            done = []
-            for i in range(p, units, parts):
-                tree = first
-                if tree is None:
-                    code, n = fetch(i)
-                    tree = Tree(code, n, depth) if len(code) else None
-                if tree is not None:
-                    tree.finish(dict(upper))
-                    done.append(tree)
-            yield p, join_trees(done)
-
-    return parts, trees()
+class Model:
+    """The counted strings by units, and the nodes that units share.
+
+    units: table of unit, code, n (packed arrays), written to the shared folder; upper: nodes of depth 0 and 1; least: a string seen more
+    often than that is priced by broadcast.
+    """
+
+    def __init__(self, strings: DataFrame, depth: int = DEPTH, unit: int = UNIT):
+        self.depth = depth
+        number = F.conv(F.hex("key"), 16, 10).cast("long").alias("code")
+        rows = strings.select(number, "n")
+        total, size = rows.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        self.count, self.least = max(1, -(-total // unit)), size / HEAVY_STRINGS
+        n_units, least = self.count, self.least
+        by = (F.shiftright("code", 8).bitwiseAND(0xFFFF) * 40503 % 65536 % n_units).cast("int").alias("unit")
+
+        def pack(t: pa.Table) -> pa.Table:
+            code, n = merge([t.column("code").to_numpy().astype(np.uint64)], [t.column("n").to_numpy()])
+            up = Tree(code, n.astype(float), depth).up
+            key, log = up if up is not None else (np.array([], np.uint64), np.array([], float))
+            asked = int(n[n <= least].sum())
+            return pa.table(
+                {
+                    "unit": pa.array([t.column("unit")[0].as_py()], pa.int32()),
+                    "code": pa.array([raw(code, "<u8")], pa.binary()),
+                    "n": pa.array([raw(n, "<i8")], pa.binary()),
+                    "key": pa.array([raw(key, "<u8")], pa.binary()),
+                    "log": pa.array([raw(log, "<f8")], pa.binary()),
+                    "asked": pa.array([asked], pa.int64()),
+                }
+            )
+
+        packed = rows.select(by, "code", "n").groupBy("unit").applyInArrow(pack, "unit int, code binary, n binary, key binary, log binary, asked long")
+        self.units = cut(packed)
+        self.upper = self.shared(rows)
+
+    def shared(self, rows: DataFrame) -> dict[int, Level]:
+        """Nodes of depth 0 and 1, from the sums over units of what their children say."""
+        low = min(2, self.depth)
+        if not low:
+            return {}
+
+        def unpack(batches):
+            for b in batches:
+                for key, log in zip(b.column(0), b.column(1), strict=True):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.frombuffer(key.as_py(), "<i8"), pa.int64()), pa.array(np.frombuffer(log.as_py(), "<f8"), pa.float64())], ["key", "log"]
+                    )
+
+        ups = self.units.select("key", "log").mapInArrow(unpack, "key long, log double").groupBy("key").agg(F.sum("log").alias("log")).toArrow()
+        ends = rows.groupBy(F.col("code").bitwiseAND((1 << 8 * low) - 1).alias("code")).agg(F.sum("n").alias("n")).toArrow()
+        if not ends.num_rows:
+            return {}
+        up = (ups.column("key").to_numpy().astype(np.uint64), ups.column("log").to_numpy())
+        upper = roots([up], [(ends.column("code").to_numpy().astype(np.uint64), ends.column("n").to_numpy().astype(float))], self.depth)
+        for d in sorted(upper):
+            Tree.spread(None, upper[d], d, upper.get(d - 1))
+        return upper
+
+    def tree(self, code: bytes, n: bytes, upper: dict[int, Level]) -> tuple[Tree, np.ndarray]:
+        """A unit's finished tree, and how often each of its strings was counted."""
+        n_ = np.frombuffer(n, "<i8").astype(float)
+        tree = Tree(np.frombuffer(code, "<u8"), n_, self.depth)
+        tree.finish(dict(upper))
+        return tree, n_
+
+    def heavy(self, shared) -> tuple[np.ndarray, np.ndarray]:
+        """Codes and prices of the strings above the share; their number is bounded by HEAVY_STRINGS."""
+        model, least = _Light(self.depth), self.least
+
+        def run(batches):
+            for b in batches:
+                for code, n in zip(b.column(0), b.column(1), strict=True):
+                    n_ = np.frombuffer(n.as_py(), "<i8")
+                    often = n_ > least
+                    if not often.any():
+                        continue
+                    tree = model.tree(code.as_py(), n.as_py(), shared.value)[0]
+                    yield pa.RecordBatch.from_arrays([pa.array([raw(tree.code[often], "<u8")], pa.binary()), pa.array([raw(tree.logs[often], "<f4")], pa.binary())], ["code", "log"])
+
+        got = self.units.select("code", "n").repartition(self.count).mapInArrow(tidied(run), "code binary, log binary").toArrow()
+        return np.frombuffer(b"".join(got.column("code").to_pylist()), "<u8"), np.frombuffer(b"".join(got.column("log").to_pylist()), "<f4")
+
+
+class _Light(Model):
+    """What tasks need of a model."""
+
+    def __init__(self, depth: int):
+        self.depth = depth
 
 
 class Table:
@@ -373,114 +432,183 @@ class Table:
         return out, np.concatenate(lost) if lost else np.array([], int)
 
 
-def part_of(code: np.ndarray, parts: int) -> np.ndarray:
-    return ((code >> np.uint64(8)) & np.uint64(0xFFFF)) * np.uint64(40503) % np.uint64(65536) % np.uint64(parts)
+def codes_of(body: bytes, depth: int):
+    """Codes of a text's strings, in slices of bounded size."""
+    data = END * depth + body
+    for lo in range(0, len(body), PIECE):
+        yield grams(np.frombuffer(data[lo : lo + PIECE + depth], np.uint8), depth)
+
 
+LINES = "row long, doc_id long, n_tokens long, known long, base double, score double, n_bytes long, word binary, times long, unit int, slot int, codes binary, rows binary"
+KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+NAMES = [f.split()[0] for f in LINES.split(", ")]
 
-def score(docs: DataFrame, train, depth: int = DEPTH, part: int = PART) -> DataFrame:
+
+def lines(src: DataFrame, words, strings, slots, smooth: float, depth: int, units: int) -> DataFrame:
+    """Three kinds of lines, with nulls elsewhere: one for each row, one for each of its words that isn't in words, packs of strings that aren't in strings.
+
+    words, strings, slots: broadcast {word: n}, (codes, prices), tasks of each unit.
+    """
+
+    def run(batches):
+        known, slots_ = words.value, slots.value
+        table = Table(*strings.value)
+
+        class Logs(dict):
+            def __missing__(self, n):
+                out = self[n] = float(np.log10((n + 0.1) / smooth))
+                return out
+
+        log10 = Logs()
+        turn = 0
+
+        def batch(cols):
+            n = max(map(len, cols.values()))
+            return pa.RecordBatch.from_arrays([pa.array(cols[x], t) if x in cols else pa.nulls(n, t) for x, t in zip(NAMES, KINDS, strict=True)], NAMES)
+
+        def emit(ids, bodies, word_lists):
+            nonlocal turn
+            sums, size = np.zeros(len(ids)), [len(x) for x in bodies]
+            codes, rows = [], []
+
+            short = [k for k, n in enumerate(size) if n <= PIECE]
+            if short:
+                code, n = joined([bodies[k] for k in short], depth)
+                value, lost = table.get(code)
+                value[lost] = 0
+                sums[short] = np.add.reduceat(value, np.concatenate([[0], np.cumsum(n)[:-1]]))
+                codes.append(code[lost])
+                rows.append(np.repeat(short, n)[lost])
+            for k, n in enumerate(size):
+                if n > PIECE:
+                    for code in codes_of(bodies[k], depth):
+                        value, lost = table.get(code)
+                        value[lost] = 0
+                        sums[k] += value.sum()
+                        codes.append(code[lost])
+                        rows.append(np.full(len(lost), k))
+            tokens, known_n, base, tail = [], [], [], ([], [], [])
+            for (row, _), ws in zip(ids, word_lists, strict=True):
+                own = Counter(ws)
+                own[END] += 1
+                k, x = 0, 0.0
+                for w, c in own.items():
+                    n = known.get(w)
+                    if n is None:
+                        tail[0].append(row)
+                        tail[1].append(w)
+                        tail[2].append(c)
+                    else:
+                        k += c
+                        x += c * log10[n]
+                tokens.append(len(ws) + 1)
+                known_n.append(k)
+                base.append(x)
+            number = np.array([r for r, _ in ids], np.int64)
+            yield batch({"row": number, "doc_id": [d for _, d in ids], "n_tokens": tokens, "known": known_n, "base": base, "score": sums, "n_bytes": size})
+            if tail[0]:
+                yield batch({"row": tail[0], "word": tail[1], "times": tail[2]})
+            code, row = np.concatenate(codes), number[np.concatenate(rows).astype(np.int64)]
+            if len(code):
+                unit = unit_of(code, units).astype(np.int64)
+                o = np.lexsort((code, unit))
+                code, row, unit = code[o], row[o], unit[o]
+                first = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
+                ends = np.append(first[1:], len(unit))
+                turn += 1
+                yield batch(
+                    {
+                        "unit": unit[first],
+                        "slot": [turn % slots_.get(int(u), 1) for u in unit[first]],
+                        "codes": [raw(code[a:b], "<u8") for a, b in zip(first, ends, strict=True)],
+                        "rows": [raw(row[a:b], "<i8") for a, b in zip(first, ends, strict=True)],
+                    }
+                )
+
+        for b in batches:
+            ids, bodies, lists, size = [], [], [], 0
+            for row, doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                ws, body = normal(t.as_py())
+                ids.append((row, doc))
+                bodies.append(body)
+                lists.append(ws)
+                size += len(body)
+                if size > PIECE // 2:
+                    yield from emit(ids, bodies, lists)
+                    ids, bodies, lists, size = [], [], [], 0
+            if ids:
+                yield from emit(ids, bodies, lists)
+
+    return src.mapInArrow(tidied(run), LINES)
+
+
+def answers(model: Model, packs: DataFrame, slots: dict[int, int], shared) -> DataFrame:
+    """row, score: sums of the prices of packed strings. In each task a unit's tree comes first, then the packs that ask for it, one after the other."""
+    spark = packs.sparkSession
+    light = _Light(model.depth)
+    many = F.create_map(*[F.lit(x) for kv in slots.items() for x in kv])[F.col("unit")] if slots else F.lit(None).cast("int")
+    trees = model.units.select("unit", F.explode(F.sequence(F.lit(0), F.coalesce(many, F.lit(1)) - 1)).alias("slot"), F.lit(0).alias("kind"), F.col("code").alias("a"), F.col("n").alias("b"))
+    asked = packs.select("unit", "slot", F.lit(1).alias("kind"), F.col("codes").alias("a"), F.col("rows").alias("b"))
+
+    def run(batches):
+        at, tree, table = None, None, None
+        for b in batches:
+            for unit, slot, kind, x, y in zip(*(b.column(i) for i in range(5)), strict=True):
+                here = (unit.as_py(), slot.as_py())
+                if here != at:
+                    at, tree, table = here, None, None
+                if kind.as_py() == 0:
+                    tree = light.tree(x.as_py(), y.as_py(), shared.value)[0]
+                    table = Table(tree.code, tree.logs)
+                    continue
+                code, row = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<i8")
+                if tree is None:  # a unit that no training string fell in: only the shared nodes say anything
+                    tree, table = Tree.bare(light.depth, shared.value), Table(np.array([], np.uint64), np.array([], np.float32))
+                value, lost = table.get(code)
+                if len(lost):
+                    u, back = np.unique(code[lost], return_inverse=True)
+                    value[lost] = tree.price(u)[back]
+                rows, back = np.unique(row, return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(np.bincount(back, value), pa.float64())], ["row", "score"])
+
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), model.count)
+    sent = trees.unionByName(asked).repartition(n, "unit", "slot").sortWithinPartitions("unit", "slot", "kind")
+    return sent.mapInArrow(tidied(run), "row long, score double")
+
+
+def score(docs: DataFrame, train, depth: int = DEPTH, unit: int = UNIT) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte of every row of docs, learning from rows where `train` holds."""
     spark = docs.sparkSession
+    sc = spark.sparkContext
     counts = cut(count(docs.filter(train), depth), "kind")
     words, strings = counts.filter("kind = 0").select("key", "n"), counts.filter("kind = 1").select("key", "n")
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    heavy = {bytes(r["key"]): r["n"] for r in words.filter((F.col("n") > total / HEAVY) & (F.length("key") <= 64)).toLocalIterator()}
-    rest = words.filter(~((F.col("n") > total / HEAVY) & (F.length("key") <= 64)))
+    often = (F.col("n") > total / HEAVY) & (F.length("key") <= 64)
+    heavy = {bytes(r["key"]): r["n"] for r in words.filter(often).toLocalIterator()}
+    rest = words.filter(~often)
     smooth = total + 0.1 * (kinds + 1)
-    shared = spark.sparkContext.broadcast(heavy)
-    parts, trees = build(strings, depth, part, min(UNIT, part))
-    # The same number for a row in each pass: it counts within the partitions of the scan, which are the same each time.
-    src = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")
-    )
-    schema = "row long, doc_id long, n_tokens long, known long, base double, score double, n_bytes long, word binary, times long"
-    names = [f.split()[0] for f in schema.split(", ")]
-    kinds_ = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.binary(), pa.int64()]
-
-    def job(i, tree):
-        held = spark.sparkContext.broadcast(tree)
-
-        def run(batches):
-            tree, known = held.value, shared.value
-            table = Table(tree.code, tree.logs) if tree is not None else None
-
-            def price(code):
-                if table is None:
-                    return np.full(len(code), 8 * HALF)
-                out, lost = table.get(code)
-                if len(lost):
-                    u, inv = np.unique(code[lost], return_inverse=True)
-                    out[lost] = tree.price(u)[inv]
-                return out
-
-            def emit(ids, bodies, word_lists):
-                code, size = joined(bodies, depth)
-                if parts > 1:
-                    mine = part_of(code, parts) == i
-                    value = np.zeros(len(code))
-                    value[mine] = price(code[mine])
-                else:
-                    value = price(code)
-                sums = np.add.reduceat(value, np.concatenate([[0], np.cumsum(size)[:-1]]))
-                cols: list[list] = [[] for _ in names]
-                for k, ((row, doc), ws) in enumerate(zip(ids, word_lists, strict=True)):
-                    tokens = known_n = 0
-                    base = 0.0
-                    tail = []
-                    if i == 0:
-                        tokens = len(ws) + 1
-                        own = Counter(ws)
-                        own[END] += 1
-                        for w, c in own.items():
-                            n = known.get(w)
-                            if n is None:
-                                tail.append((w, c))
-                            else:
-                                known_n += c
-                                base += c * log10[n]
-                    # No word has a space, so this key matches no word; it spreads the rows' own lines over the join's tasks.
-                    tail.append((b" %d" % row, None))
-                    for w, c in tail:
-                        lead = c is None
-                        for o, v in zip(cols, (row, doc, tokens if lead else 0, known_n if lead else 0, base if lead else 0.0, float(sums[k]) if lead else 0.0, int(size[k]) if lead and i == 0 else 0, w, c or 0), strict=True):
-                            o.append(v)
-                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds_, strict=True)], names)
-
-            class Logs(dict):
-                def __missing__(self, n):
-                    out = self[n] = float(np.log10((n + 0.1) / smooth))
-                    return out
-
-            log10 = Logs()
-            for b in batches:
-                ids, bodies, lists, size = [], [], [], 0
-                for row, doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                    ws, body = normal(t.as_py())
-                    ids.append((row, doc))
-                    bodies.append(body)
-                    lists.append(ws)
-                    size += len(body)
-                    if size > PIECE // 2:
-                        yield emit(ids, bodies, lists)
-                        ids, bodies, lists, size = [], [], [], 0
-                if ids:
-                    yield emit(ids, bodies, lists)
-
-        return src.mapInArrow(tidied(run), schema)
-
-    lines = None
-    for i, tree in trees:
-        more = job(i, tree)
-        lines = more if lines is None else lines.union(more)
-    priced = lines.join(rest.select(F.col("key").alias("word"), "n"), "word", "left")
+    model = Model(strings, depth, unit)
+    shared = sc.broadcast(model.upper)
+    slots = {r["unit"]: r["n"] for r in model.units.select("unit", F.ceil(F.col("asked") / ASKED).cast("int").alias("n")).filter("n > 1").collect()}
+    src = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
+    # Written once: all that follows joins by the row numbers that stand there.
+    told = cut(lines(src, sc.broadcast(heavy), sc.broadcast(model.heavy(shared)), sc.broadcast(slots), smooth, depth, model.count))
+    nothing = {"known": F.lit(0).cast("long"), "base": F.lit(0.0), "score": F.lit(0.0)}
+    leads = told.filter("n_tokens IS NOT NULL").select("row", "doc_id", "n_tokens", "n_bytes", "known", "base", "score")
     new = F.coalesce(F.col("n"), F.lit(0))
-    out = priced.groupBy("row").agg(
-        F.first("doc_id", ignorenulls=True).alias("doc_id"),
-        F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("known") + F.when(new > 0, F.col("times")).otherwise(0)).alias("n_known"),
+    tail = told.filter("word IS NOT NULL").select("row", "word", "times").join(rest.select(F.col("key").alias("word"), "n"), "word", "left")
+    tail = tail.select("row", F.when(new > 0, F.col("times")).otherwise(0).alias("known"), (F.col("times") * F.log10((new + 0.1) / F.lit(smooth))).alias("base"))
+    more = answers(model, told.filter("unit IS NOT NULL").select("unit", "slot", "codes", "rows"), slots, shared)
+    parts = leads.unionByName(tail.withColumn("score", nothing["score"]), allowMissingColumns=True)
+    parts = parts.unionByName(more.withColumn("known", nothing["known"]).withColumn("base", nothing["base"]), allowMissingColumns=True)
+    out = parts.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"),
+        F.max("n_tokens").alias("n_tokens"),
+        F.sum("known").alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"),
-        F.sum(F.col("base") + F.col("times") * F.log10((new + 0.1) / F.lit(smooth))).alias("base_score"),
+        F.sum("base").alias("base_score"),
         F.sum("score").alias("score"),
-        F.sum("n_bytes").alias("n_bytes"),
+        F.max("n_bytes").alias("n_bytes"),
     )
     bits = -F.col("score") / F.log10(F.lit(2.0)) / F.col("n_bytes")
     return out.drop("row").withColumn("bits_per_byte", bits)

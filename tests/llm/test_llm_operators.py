@@ -49,7 +49,7 @@ def test_ctw_base_and_parts(spark, docs):
     want = sorted((len(words(t)), sum(n[w] > 0 for w in words(t)), round(sum(math.log10((n[w] + 0.1) / (total + 0.1 * (kinds + 1))) for w in words(t)), 6)) for _, t in rows)
     assert sorted((r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in out) == want
     assert {r["train_tokens"] for r in out} == {total}
-    many = ctw.score(docs, ~ctw.held_out(), depth=3, part=300).collect()
+    many = ctw.score(docs, ~ctw.held_out(), depth=3, unit=40).collect()
     key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["n_bytes"])
     assert all(math.isclose(a["score"], b["score"], rel_tol=1e-9) and a["n_bytes"] == b["n_bytes"] for a, b in zip(sorted(out, key=key), sorted(many, key=key), strict=True))
 
