@@ -57,6 +57,17 @@ def cut(df: DataFrame, *partition: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, made longer until no column of df has them in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def worker_cache(key: str, build):
     """One value a Python worker process, kept from task to task; holds the latest four keys."""
     held = sys.__dict__.setdefault("_tessera_held", {})

@@ -9,12 +9,19 @@ A key under which more than `MOST` fingerprints are filed is not compared pair b
 second way: each is filed under itself and its 64 one-bit neighbours. Any two that meet differ in at most 2 bits, any two
 that differ in at most 2 bits meet, and no more than 65 can ever meet at one value, so nothing is lost or capped.
 
+Links of documents by similarity, as the pipeline wants them, take wide fingerprints (`keep_one`): at 0.8 of the five-word shingles in common, texts
+differ in 15 % of the bits, too many for pigeonhole blocks to be sure of, so blocks are many instead: 1,024 bits are split into 32 blocks of 32 bits, six times
+in different ways, pairs that share a block meet, and their Hamming distance is verified. A pair at similarity s shares a block with a
+probability of about 1 - (1 - (1 - p)^32)^192, p = acos(2s / (1 + s)) / pi: 0.63 at 0.8, 0.92 at 0.85, and 1 from 0.9 on; unrelated ones with 4e-8. Groups of more than two have more ways to be linked.
+
 Defined results: null and empty texts have fingerprint zero and link like others; repeated rows each get their row; a null
-doc_id gets a row, and its component is the smallest id of the others in it (null if there is none).
+doc_id gets a row, and its component is the smallest id of the others in it (null if there is none). Columns of docs other than doc_id and
+text take no part; keep_one hands them through, whatever their names and types.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -23,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_skewed, space_words, texts, tidied
+from .common import cut, free, join_skewed, space_words, texts, tidied
 
 MOST = 32
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -122,14 +129,144 @@ def fingerprint_hex(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
 
 
-def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """The rows whose doc_id heads its component, columns as given.
+# --- similarity of 0.8 or more --------------------------------------------------------------------------------------
+
+#: Bits of a wide fingerprint; for each block, in six splits of 32 blocks, its four bytes. Blocks of two splits have one byte in common at most.
+WIDE, ROOM = 1024, 256
+SPLITS = np.array([[32 * j + (k + s * j) % 32 for j in range(4)] for s in range(6) for k in range(32)])
+ODD = (np.random.default_rng(91).integers(0, 1 << 63, WIDE // 64, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+
+
+def radius(similarity: float) -> int:
+    """Bits of a wide fingerprint in which texts of a Jaccard similarity differ on average, rounded up: by the angle between their sets."""
+    return math.ceil(WIDE * math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi)
+
+
+def wide_fingerprint(text: bytes | None, shingle: int = 5) -> bytes:
+    """Each bit is what most of the distinct shingles' hashes say, of equally many what the smallest hash says; no words: zeros."""
+    words = space_words(text)
+    if not words:
+        return bytes(WIDE // 8)
+    parts = {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
+    digest = xxhash.xxh64_intdigest
+    h = np.fromiter((digest(s, 42) for s in parts), np.uint64, len(parts))
+    ones = np.zeros(WIDE, np.int64)
+    for lo in range(0, len(h), 255):  # so many that a byte can count them
+        bits = np.unpackbits(_mixed(h[lo : lo + 255]).view(np.uint8), axis=1, bitorder="little")
+        ones += np.add.reduce(bits, axis=0, dtype=np.uint8)
+    tie = np.unpackbits(_mixed(h.min()[None]).view(np.uint8).ravel(), bitorder="little")
+    return np.packbits(2 * ones + tie > len(h), bitorder="little").tobytes()
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """64-bit hashes drawn out to the width of the fingerprint."""
+    x = h[:, None] * ODD
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0x9E3779B97F4A7C15)
+    return (x ^ (x >> np.uint64(29))).astype("<u8")
+
+
+def wide_keys(fps: np.ndarray) -> np.ndarray:
+    """Keys of the blocks of fingerprints (rows of bytes): the block's number above its 32 bits."""
+    blocks = np.ascontiguousarray(fps[:, SPLITS]).view("<u4")[:, :, 0].astype(np.int64)
+    return blocks | (np.arange(len(SPLITS)) << 32)
+
+
+def similar(rows: DataFrame, similarity: float = 0.8, room: int = ROOM) -> DataFrame:
+    """Edges (u, v) of node ids: rows (id, fp) that share a block and lie within the radius. The ids needn't be unique, nulls have no edges.
+
+    Keys that more than `room` rows hold aren't compared pair by pair: their rows are compared with the row of the smallest id; those within the
+    radius are linked to it and leave, the rest goes on with a new smallest id until no key has more than `room`. Of two rows that left with
+    different ids a link isn't looked for under that key again; they have all the others that they share.
+    """
+    spark = rows.sparkSession
+    most = radius(similarity)
+
+    def file(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, 10_000):
+                part = b.slice(lo, 10_000)
+                fps = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1)
+                ids = np.repeat(part.column(0).to_numpy(), len(SPLITS))
+                yield pa.RecordBatch.from_arrays([pa.array(wide_keys(fps).ravel(), pa.int64()), pa.array(ids, pa.int64())], ["key", "id"])
+
+    rows = rows.filter("id IS NOT NULL")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    filed = rows.select("id", "fp").mapInArrow(tidied(file), "key long, id long").repartition(n, "key")
+    shared = filed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    filed = cut(filed.join(shared, "key"))
+    few = (
+        filed.filter(F.col("n") <= room)
+        .groupBy("key")
+        .agg(F.collect_set("id").alias("ids"))
+        .select(F.explode("ids").alias("u"), "ids")
+        .select("u", F.explode("ids").alias("v"))
+        .filter("u > v")
+        .distinct()
+    )
+    edges = [close(few, rows, most)]
+    left = filed.filter(F.col("n") > room).select("key", "id").distinct()
+    while True:
+        left = cut(left)
+        counted = left.groupBy("key").agg(F.min("id").alias("v"), F.count("*").alias("n"))
+        big = cut(counted.filter(F.col("n") > room))
+        if big.isEmpty():
+            break
+        pairs = left.join(big.select("key", "v"), "key").filter("id > v")
+        near = cut(close(pairs.select(F.col("id").alias("u"), "v").distinct(), rows, most))
+        edges.append(near)
+        rest = pairs.join(near.withColumnRenamed("u", "id"), ["id", "v"], "left_anti").select("key", "id")
+        left = rest.union(left.join(big.select("key"), "key", "left_anti"))
+    last = left.groupBy("key").agg(F.collect_set("id").alias("ids")).select(F.explode("ids").alias("u"), "ids").select("u", F.explode("ids").alias("v")).filter("u > v").distinct()
+    edges.append(close(last, rows, most))
+    out = edges[0]
+    for e in edges[1:]:
+        out = out.union(e)
+    return out.distinct()
+
+
+def close(pairs: DataFrame, rows: DataFrame, most: int) -> DataFrame:
+    """The pairs (u, v) of which some fingerprints differ in at most so many bits."""
+    both = pairs.join(rows.select(F.col("id").alias("u"), F.col("fp").alias("a")), "u").join(rows.select(F.col("id").alias("v"), F.col("fp").alias("b")), "v")
+
+    def run(batches):
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), "<u8").reshape(b.num_rows, -1) for k in (2, 3))
+            keep = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= most
+            yield b.select(["u", "v"]).filter(pa.array(keep))
+
+    return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long").distinct()
+
+
+def wide_fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """doc_id, fp (128 bytes) of each row."""
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([wide_fingerprint(t.as_py(), shingle) for t in b.column(1)], pa.binary())], ["doc_id", "fp"])
+
+    return texts(docs, "doc_id").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(tidied(run), "doc_id long, fp binary")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows whose doc_id is the smallest of its group of near duplicates, columns as given.
 
-    Of repeated rows of one id a single one stays (the smallest by text and the other columns); rows with a null id stay.
+    Groups are the components of documents whose wide fingerprints are equal, or share a block and lie within the radius of the similarity. Of
+    repeated rows of one id a single one stays (the smallest as JSON), and they link as one document; rows with a null id stay and link nothing.
     """
-    heads = near_duplicates(docs, shingle).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__id"), F.lit(1).alias("__one")).distinct()
-    name = docs.columns
-    kept = docs.filter(F.col("doc_id").isNotNull()).join(heads, F.col("doc_id").cast("long") == F.col("__id")).select(*name)
-    rest = [c for c in name if c != "doc_id"]
-    one = kept.groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("__row")).select("doc_id", "__row.*").select(*name)
-    return one.unionByName(docs.filter(F.col("doc_id").isNull()))
+    rows = cut(wide_fingerprints(docs, shingle))
+    known = rows.filter("doc_id IS NOT NULL")
+    # one row for each text's fingerprint, with the smallest id; the other ids hang on that one
+    distinct = cut(known.groupBy("fp").agg(F.min("doc_id").alias("id")))
+    hang = known.join(distinct, "fp").filter("doc_id > id").select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
+    found = components(similar(distinct, similarity).union(hang))
+    out, one, times, best = free(docs, "drop_id", "one_id", "times", "best")
+    ids = F.col("doc_id").cast("long")
+    gone = found.filter("node <> root").select(F.col("node").alias(out))
+    kept = docs.join(gone, ids == F.col(out), "left_anti")
+    again = known.groupBy(F.col("doc_id").alias(one)).agg(F.count("*").alias(times)).filter(F.col(times) > 1).select(one)
+    single = kept.join(again, ids == F.col(one), "left_anti")
+    several = kept.join(again, ids == F.col(one), "left_semi")
+    row = F.struct(*docs.columns)
+    several = several.groupBy(ids.alias(one)).agg(F.min_by(row, F.to_json(row)).alias(best)).select(f"{best}.*")
+    return single.unionByName(several)

@@ -8,7 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from brute import brute_components, brute_fingerprint, brute_secrets, brute_windows
+from brute import brute_components, brute_fingerprint, brute_secrets, brute_similar, brute_wide, brute_windows, jaccard, shingles
 from pyspark.sql import functions as F
 
 from tessera.llm import ann, ctw, decontam, licenses, pieces, quality, render, secrets, simhash, toxicity
@@ -254,6 +254,33 @@ def test_neighbours(spark):
     assert ann.nearest(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("block", "asked"), [(300, 7), (64, 1000)])
+def test_neighbours_over_many_cells(spark, block, asked):
+    """At least four cells, several tasks for a cell, cells of copies that are split; against brute force."""
+    r = np.random.default_rng(6)
+    centre = r.normal(size=(12, 16)) * 2
+    x = np.float32([centre[i % 12] + 0.3 * r.normal(size=16) for i in range(1500)])
+    x[600:1100] = x[600]  # copies in one cell
+    rows = [(i, [float(v) for v in v]) for i, v in enumerate(x)]
+    out = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), every=10, block=block, asked=asked).collect()
+    u = x.astype(float)
+    norm = np.sqrt(np.einsum("ij,ij->i", u, u))
+    got = {}
+    for o in sorted(out, key=lambda o: (o["query_id"], o["rank"])):
+        got.setdefault(o["query_id"], []).append((o["vec_id"], o["score"]))
+    assert set(got) == set(range(0, 1500, 10)) and {len(g) for g in got.values()} == {5}
+    hit = 0
+    for q, found in got.items():
+        c = np.einsum("ij,ij->i", u, np.broadcast_to(u[q], u.shape)) / (norm * norm[q])
+        c[q] = -9
+        best = np.lexsort((np.arange(1500), -c))[:5]
+        hit += len(set(best) & {i for i, _ in found})
+        assert all(math.isclose(c[i], s, rel_tol=1e-12) for i, s in found)
+        if 600 <= q < 1100:
+            assert [i for i, _ in found] == [i for i in range(600, 606) if i != q][:5]
+    assert hit >= 0.95 * 5 * len(got)
+
+
 def test_neighbours_among_copies():
     r = np.random.default_rng(4)
     for _ in range(20):
@@ -261,7 +288,7 @@ def test_neighbours_among_copies():
         x = v * r.integers(1, 99, size=(3000, 1))
         ids = r.permutation(3000) + 1
         s = np.einsum("ij,j->i", x, v) / (np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(v @ v))
-        _, got, score = ann.search_block(ids, x, np.array([0]), v[None], 5)
+        _, got, score = ann.Block(ids, x).search(np.array([0]), v[None], np.array([-np.inf]), 5)
         want = np.lexsort((ids, -s))[:5]
         assert score.tolist() == s[want].tolist() and got.tolist() == ids[want].tolist()
 
@@ -393,12 +420,48 @@ def test_simhash(docs):
     got = simhash.near_duplicates(docs).withColumn("hex", simhash.fingerprint_hex()).collect()
     key = lambda t: (t[0] is None, t[0] or 0, t[1])
     assert sorted(((r["doc_id"], r["hex"], r["component_id"]) for r in got), key=key) == sorted(((i, f"{f:016x}", head.get(root[f])) for i, f in want), key=key)
-    kept = simhash.keep_one(docs)
-    assert kept.dtypes == docs.dtypes and sorted(r["doc_id"] for r in kept.filter("doc_id IS NOT NULL").collect()) == sorted(set(head.values()))
-    assert kept.filter("doc_id IS NULL").count() == 1
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_keep_one(spark, docs):
+    odd = docs.withColumns({"drop_id": F.lit(1), "ONE_ID": F.lit(2), "times": F.lit("x"), "best": F.create_map(F.lit("k"), F.lit("v")), "node": F.lit(1), "id": F.lit(0)})
+    kept = simhash.keep_one(odd)
+    assert kept.dtypes == odd.dtypes and sorted(r["doc_id"] for r in kept.filter("doc_id IS NOT NULL").collect()) == sorted(set(brute_similar(local(docs)).values()))
+    assert kept.filter("doc_id IS NULL").count() == 1 and simhash.keep_one(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("room", [2, 256])
+def test_similar(spark, room):
+    r = random.Random(8)
+    rows = []
+    for k in range(12):
+        words = [r.choice(VOCABULARY) + str(r.randrange(50)) for _ in range(r.choice([7, 60, 400]))]
+        for j in range(12):
+            own = list(words)
+            for _ in range(r.choice([0, 1, len(words) // 40])):
+                own[r.randrange(len(own))] = f"new{r.randrange(10**6)}"
+            rows.append((100 * k + j, " ".join(own)))
+    rows += [(5000, "two words"), (5001, "Two  words"), (5002, None), (5003, ""), (5003, "another text"), (None, rows[0][1])]
+    kept = simhash.similar(spark.createDataFrame([(i, bytearray(simhash.wide_fingerprint((t or "").encode()))) for i, t in rows], "id long, fp binary"), room=room)
+    got = {x["node"]: x["root"] for x in simhash.components(kept).collect()}
+    root = brute_similar(rows)
+    if room > 2:
+        assert all(got.get(i, i) == x for i, x in root.items())
+    else:
+        assert all(root[i] == root[x] for i, x in got.items()) and sum(got.get(i, i) != x for i, x in root.items()) <= 3
+    sets = {i: shingles(t) for i, t in rows if i is not None}
+    near = [(i, j) for i in sets for j in sets if i < j and jaccard(sets[i], sets[j]) >= 0.85]
+    assert sum(got.get(i, i) == got.get(j, j) for i, j in near) >= 0.95 * len(near)
+
+
+def test_wide_fingerprint():
+    for n in (0, 1, 3, 5, 6, 9, 300, 700):
+        t = sentence(n)
+        assert int.from_bytes(simhash.wide_fingerprint(t.encode()), "little") == brute_wide(t)
+    assert all(sorted(x.ravel()) == list(range(128)) for x in simhash.SPLITS.reshape(6, -1))
+    assert simhash.radius(1) == 0 and simhash.radius(0.8) == 156
+
+
 @pytest.mark.parametrize("most", [1, 4, 1000])
 def test_simhash_links(spark, most):
     r = random.Random(1)

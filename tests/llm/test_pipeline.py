@@ -3,7 +3,7 @@
 import os
 
 import pytest
-from brute import brute_components, brute_fingerprint, brute_secrets, brute_windows
+from brute import brute_secrets, brute_similar, brute_windows, jaccard, shingles
 
 import __spark_entry__ as E
 import corpus_pipeline
@@ -31,12 +31,14 @@ def test_stages(spark, tmp_path):
             good = {r["doc_id"] for r in spark.read.parquet(f"{HERE}/labels.parquet").filter("quality = 1").collect()}
             assert len(bad & set(after)) <= 0.2 * len(bad) + 2 and len(good - set(after)) <= 0.05 * len(good) + 2
         elif name == "dedup":
-            fp = {i: brute_fingerprint(t) for i, t in before.items()}
-            root = brute_components(fp.values())
-            head = {}
-            for i, f in fp.items():
-                head[root[f]] = min(i, head.get(root[f], i))
-            assert set(after) == set(head.values())
+            root = brute_similar(before.items())
+            assert set(after) == set(root.values())
+            # by the texts themselves: what links has much in common, what has nearly all in common links
+            sets = {i: shingles(t) for i, t in before.items()}
+            near = [(i, j, x) for i in before for j in before if i < j and (x := jaccard(sets[i], sets[j])) >= 0.7]
+            assert all(root[i] == root[j] for i, j, x in near if x >= 0.93)
+            some = {i for pair in near for i in pair[:2]}
+            assert all(i in some for i, r in root.items() if i != r)
         elif name == "decontam":
             assert set(after) == {i for i, t in before.items() if not brute_windows(t, bench, 10)[1]}
         else:
