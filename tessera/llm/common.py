@@ -39,9 +39,11 @@ def split_of(doc_id: str = "doc_id", mod: int = 10):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir; a temporary one only where that is unset and all runs on this machine."""
     sc = spark.sparkContext
     d = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not d and not sc.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="tessera-")
         sc.setCheckpointDir(d)
@@ -127,4 +129,5 @@ def keep_rows(docs: DataFrame, judge, step: int = 1000) -> DataFrame:
                 texts_ = part.column(at).cast(pa.binary()).to_pylist() if as_text else [None if t is None else str(t).encode() for t in part.column(at).to_pylist()]
                 yield part.filter(pa.array(accept(texts_), pa.bool_()))
 
-    return docs.mapInArrow(tidied(run), docs.schema)
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # names with dots can't be sent
+    return plain.mapInArrow(tidied(run), plain.schema).toDF(*docs.columns)

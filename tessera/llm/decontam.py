@@ -11,7 +11,9 @@ The benchmark is shipped in parts of at most `PART_BYTES` of patterns, whose siz
 part is searched part by part, each over all texts, and the hits are merged by document row.
 
 Defined results: null and empty texts have no words, are never hit and get the digest of the empty list; items without words have
-no window; an item id that repeats counts once; the benchmark may be empty.
+no window; an item id that repeats counts once, a null one is no id, though its words are hit; the benchmark may be empty. Every row, repeated ones
+and those with a null id as well, gets a row; an empty table gives an empty one. Columns other than doc_id and text aren't read by search, and
+handed through by decontaminate.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, keep_rows, texts, tidied
+from .common import alnum_words, cut, keep_rows, texts, tidied
 
 BLOCK = 8
 PART_BYTES = 32 << 20
@@ -100,32 +102,34 @@ class Searcher:
         return len(words), spans, {i for _, p in found for i in self.items[p]}
 
 
-def parts_of(benchmark: DataFrame, size: int, part_bytes: int) -> list[dict[bytes, list]]:
-    """The benchmark's patterns in parts of bounded size, read one item at a time."""
-    parts: list[dict[bytes, list]] = [{}]
+def parts_of(benchmark: DataFrame, size: int, part_bytes: int):
+    """Yields the benchmark's patterns in parts of bounded size, read one item at a time; one part, perhaps empty, at least."""
+    part: dict[bytes, list] = {}
     used = 0
     for r in texts(benchmark, "item_id").distinct().toLocalIterator():
         for p in windows(bytes(r["text"]) if r["text"] is not None else None, size):
-            if used + len(p) > part_bytes:
-                parts.append({})
-                used = 0
-            ids = parts[-1].setdefault(p, [])
+            if used + len(p) > part_bytes and part:
+                yield part
+                part, used = {}, 0
+            ids = part.setdefault(p, [])
             if r["item_id"] not in ids:
                 ids.append(r["item_id"])
             used += len(p) + 64
-    return parts
+    yield part
 
 
 def search(docs: DataFrame, benchmark: DataFrame, size: int = 10, part_bytes: int = PART_BYTES) -> DataFrame:
     """doc_id, n_words, spans (array of [start, end) in words), items (array of ids as text) of every row of docs."""
-    spark = docs.sparkSession
-    parts = parts_of(benchmark, size, part_bytes)
+    sc = docs.sparkSession.sparkContext
+    # the driver holds one part at a time: what is broadcast goes to a file
+    parts = [sc.broadcast(p) for p in parts_of(benchmark, size, part_bytes)]
     schema = "row long, doc_id long, n_words long, spans array<struct<s:long,e:long>>, items array<string>"
     kind = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
+    src = texts(docs, "doc_id").withColumn("doc_id", F.col("doc_id").cast("long")).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    if len(parts) > 1:
+        src = cut(src)  # the passes must number the rows alike
 
-    def job(patterns):
-        held = spark.sparkContext.broadcast(patterns)
-
+    def job(held):
         def run(batches):
             searcher = Searcher(held.value)
             for b in batches:
@@ -141,9 +145,7 @@ def search(docs: DataFrame, benchmark: DataFrame, size: int = 10, part_bytes: in
                     ["row", "doc_id", "n_words", "spans", "items"],
                 )
 
-        # The same number for a row in each pass: it counts within the partitions of the scan, which are the same each time.
-        src = texts(docs, "doc_id").withColumn("doc_id", F.col("doc_id").cast("long"))
-        return src.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(tidied(run), schema)
+        return src.mapInArrow(tidied(run), schema)
 
     found = job(parts[0])
     if len(parts) > 1:

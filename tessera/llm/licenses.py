@@ -8,7 +8,8 @@ are looked for in the text between there and the template's end; only if all sta
 share of the template's rare words found in place, the best over labels; it is 1 where a base phrase stands. Votes are counted and dropped every
 `FLUSH` words, so that they stay few in long texts.
 
-Defined results: null and empty texts have no words, no labels and score 0. Every row gives one row.
+Defined results: null and empty texts have no words, no labels and score 0. Every row gives one row, repeated ones and those with a null id as well;
+an empty table gives an empty one. Columns other than doc_id and text aren't read.
 """
 
 from __future__ import annotations
@@ -81,9 +82,11 @@ class Index:
         flat = b" " + b" ".join(words) + b" "
         starts, labels = [], set()
         for p, label in self.base:
-            at = flat.find(p)
+            at, before, spaces = flat.find(p), 0, 0
             while at >= 0:
-                starts.append(flat.count(b" ", 0, at))
+                spaces += flat.count(b" ", before, at)
+                before = at
+                starts.append(spaces)
                 labels.add(label)
                 at = flat.find(p, at + 1)
         out: dict[str, float] = {}

@@ -12,7 +12,8 @@ Pieces hold the space mark only in front, so a text falls apart before each run
 and held in a bounded cache. Characters in no piece become byte pieces where the model has them, else the unknown piece.
 
 Only models with identity normalisation and no user-defined pieces are read; others raise ValueError. Defined results: null and empty
-texts have no ids and decode to the empty text; a text that itself has U+2581 decodes with spaces in its place, as in the library.
+texts have no ids and decode to the empty text; a text that itself has U+2581 decodes with spaces in its place, as in the library. Every row,
+repeated ones and those with a null id as well, gets a row; an empty table gives an empty one. Columns other than doc_id and text aren't read.
 """
 
 from __future__ import annotations
@@ -31,7 +32,8 @@ from .common import texts, tidied, worker_cache
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-CACHE = 250_000
+#: Parts that are held, and the characters of the longest that is.
+CACHE, SHORT = 250_000, 64
 
 
 def _fields(data: bytes):
@@ -115,9 +117,11 @@ class Pieces:
 
         class Held(dict):
             def __missing__(self, part):
-                if len(self) >= CACHE:
-                    self.clear()
-                out = self[part] = array("i", (pieces.merged if pieces.bpe else pieces.best)(part)).tobytes()
+                out = array("i", (pieces.merged if pieces.bpe else pieces.best)(part)).tobytes()
+                if len(part) <= SHORT:
+                    if len(self) >= CACHE:
+                        self.clear()
+                    self[part] = out
                 return out
 
         self.held = Held()

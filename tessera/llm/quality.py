@@ -6,7 +6,9 @@ residuals gain most from a joint split get tables of their own (`PAIR_BINS` by `
 the logistic function of the intercept plus the looked-up values of all bins: additions only.
 
 Learns from at most `ROWS` labelled rows, those with the smallest hash of doc_id, whole texts. Defined results: null and empty texts have all
-features zero and the score of those; without both labels in the sample the score is the share of label 1 (0.5 of none).
+features zero and the score of those; without both labels in the sample the score is the share of label 1 (0.5 of none). Every row, repeated ones
+and those with a null id as well, gets a score or is kept or dropped by it; an empty table gives an empty one. Rows with null labels or ids aren't
+learnt from, and of labels that contradict each other the larger counts. Scores read no column but the text; keep_good hands the others through.
 """
 
 from __future__ import annotations
@@ -173,7 +175,7 @@ def train(x: np.ndarray, y: np.ndarray) -> Gam:
 def fit(docs: DataFrame, labels: DataFrame, mod: int = 3, out: int = 1, rows: int = ROWS) -> Gam:
     """A model learnt from labelled rows whose crc32(doc_id as text) mod `mod` isn't `out`."""
     got = sample(docs, labels, "quality", rows, split_of("doc_id", mod) == out)
-    got = got.select("__id", "__y", F.col("text").cast("string").cast("binary").alias("text"))
+    got = got.select("i", "y", "text")
 
     def run(batches):
         for b in batches:

@@ -11,7 +11,8 @@ text in that alphabet" the chi-squared statistic has a noncentrality that grows
 that takes length into account; within each document Benjamini-Hochberg, weighted by length, holds the false-discovery rate of these at
 `FDR`. Candidates that touch a base span add nothing.
 
-Defined results: null and empty texts have no spans and the digest of the empty text.
+Defined results: null and empty texts have no spans and the digest of the empty text, and redact leaves them as they are. Every row, repeated ones and
+those with a null id as well, gets a row; an empty table gives an empty one. Other columns are handed through, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free
+
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']? *[:=] *["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
@@ -41,26 +44,28 @@ def let(value: Column, f) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
-def running(sizes: Column) -> Column:
-    """Sums of all earlier elements; in blocks, so that long arrays take little more than linear time."""
-    zero = F.lit(0)
+def prefix(values: Column, zero: Column, op) -> Column:
+    """op (of sums, greatest, least) over all earlier elements, `zero` at the first; in blocks, so that long arrays take little more than linear time.
 
-    def total(a):
-        return F.aggregate(a, zero, lambda x, y: x + y)
+    `values` is a variable. (Blocks of blocks would be deeper than the analyzer goes.)
+    """
+    step = 64
+    block = lambda k: F.floor(k / step).cast("int")
 
-    step = 128
-    blocks = F.transform(
-        F.sequence(zero, F.floor((F.size(sizes) - 1) / step).cast("int")), lambda b: total(F.slice(sizes, b * step + 1, step))
-    )
+    def fold(a):
+        return F.aggregate(a, zero, op)
 
     def inner(blocks):
-        return F.transform(
-            sizes,
-            lambda _, k: total(F.slice(blocks, F.lit(1), F.floor(k / step).cast("int")))
-            + total(F.slice(sizes, F.floor(k / step).cast("int") * step + 1, k % step)),
-        )
+        before = F.transform(blocks, lambda _, k: fold(F.slice(blocks, F.lit(1), k)))
+        return let(before, lambda x: F.transform(values, lambda _, k: op(x[block(k)], fold(F.slice(values, block(k) * step + 1, k % step)))))
 
-    return F.when(F.size(sizes) == 0, F.array().cast("array<int>")).otherwise(let(blocks, inner))
+    blocks = F.transform(F.sequence(F.lit(0), block(F.size(values) - 1)), lambda b: fold(F.slice(values, b * step + 1, step)))
+    return F.when(F.size(values) == 0, F.array().cast("array<int>")).otherwise(let(blocks, inner))
+
+
+def running(sizes: Column) -> Column:
+    """Sums of all earlier elements."""
+    return let(sizes, lambda x: prefix(x, F.lit(0), lambda a, v: a + v))
 
 
 def found(text: Column, pattern: str, order: int, keep=None) -> Column:
@@ -176,19 +181,30 @@ def random_spans(text: Column) -> Column:
     return let(tested, control)
 
 
-def scan(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
-    """The kept columns and a struct `AS` of base and spans: arrays of (s, k, e, hit), k an index of KINDS, by start, then kind. No shuffle."""
+def apart(spans: Column) -> Column:
+    """Sorted spans without the random ones that touch a base span: one that starts before and ends after their start, or starts before their end."""
+    random = len(KINDS) - 1
+    far = F.lit(2**31 - 1)
+    ends = F.transform(spans, lambda m: F.when(m["k"] == random, -1).otherwise(m["e"]))
+    starts = F.transform(F.reverse(spans), lambda m: F.when(m["k"] == random, far).otherwise(m["s"]))
+    before = let(ends, lambda x: prefix(x, F.lit(-1), lambda a, v: F.greatest(a, v)))
+    after = F.reverse(let(starts, lambda x: prefix(x, far, lambda a, v: F.least(a, v))))
+    both = F.struct(before.alias("before"), after.alias("after"))
+    return let(both, lambda x: F.filter(spans, lambda m, i: (m["k"] != random) | (x["before"][i] <= m["s"]) & (x["after"][i] >= m["e"])))
+
+
+def scan(docs: DataFrame, *keep: str, text: str = "text", name: str = AS) -> DataFrame:
+    """The kept columns and a struct `name` of base and spans: arrays of (s, k, e, hit), k an index of KINDS, by start, then kind. No shuffle."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     base = F.concat(
         found(t, ASSIGN, 0, lambda h: F.length(F.regexp_extract(h, ASSIGN, 2)) >= 12), found(t, ACCESS, 1), found(t, HEX, 2)
     )
 
     def all_spans(x):
-        free = F.filter(x["more"], lambda r: ~F.exists(x["base"], lambda b: (b["s"] < r["e"]) & (r["s"] < b["e"])))
-        return F.struct(x["base"].alias("base"), F.array_sort(F.concat(x["base"], free)).alias("spans"))
+        return F.struct(x["base"].alias("base"), F.when(F.size(x["more"]) == 0, x["base"]).otherwise(let(F.array_sort(F.concat(x["base"], x["more"])), apart)).alias("spans"))
 
     both = let(F.struct(F.array_sort(base).alias("base"), random_spans(t).alias("more")), all_spans)
-    return docs.select(*keep, both.alias(AS))
+    return docs.select(*[F.col(f"`{c}`") for c in keep], both.alias(name))
 
 
 def listed(spans: Column) -> Column:
@@ -201,29 +217,23 @@ def count(spans: Column, kind: str) -> Column:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """The rows of docs with every span of the text replaced by a mark; n_chars, where present, is the new text's length."""
-    name = docs.columns
-    rows = scan(docs, *name).withColumn("__t", F.col("text").cast("string"))
+    """The rows of docs with every span of the text replaced by a mark; n_chars, where present, is the new text's length where there was one."""
+    at, new = free(docs, "found", "clean")
+    spans = F.col(f"{at}.spans")
+    text = F.col("text").cast("string")
 
     def cleaned(spans):
         # gaps between spans: from the furthest end so far to the next start
-        pieces = F.transform(
-            spans,
-            lambda m, k: F.struct(
-                F.coalesce(F.array_max(F.transform(F.slice(spans, F.lit(1), k), lambda x: x["e"])), F.lit(0)).alias("a"), m["s"].alias("b")
-            ),
-        )
-        joined = F.array_join(
-            F.transform(pieces, lambda p: F.when(p["b"] >= p["a"], F.concat(F.col("__t").substr(p["a"] + 1, p["b"] - p["a"]), F.lit(mark))).otherwise("")), ""
-        )
-        end = F.array_max(F.transform(spans, lambda x: x["e"]))
-        return F.concat(joined, F.col("__t").substr(end + 1, F.length("__t")))
-
-    spans = F.col(f"{AS}.spans")
-    clean = F.when(F.size(spans) == 0, F.col("__t")).otherwise(cleaned(spans))
-    out = rows.withColumn("__t", clean)
-    cols = [
-        F.col("__t").alias(c) if c == "text" else F.when(F.size(spans) == 0, F.col(c)).otherwise(F.length("__t")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c)
-        for c in name
-    ]
-    return out.select(*cols)
+        ends = let(F.transform(spans, lambda m: m["e"]), lambda x: prefix(x, F.lit(0), lambda a, v: F.greatest(a, v)))
+        gaps = F.zip_with(ends, spans, lambda a, m: F.when(m["s"] >= a, F.concat(text.substr(a + 1, m["s"] - a), F.lit(mark))).otherwise(""))
+        end = F.array_max(F.transform(spans, lambda m: m["e"]))
+        return F.concat(F.array_join(gaps, ""), text.substr(end + 1, F.length(text)))
+
+    rows = scan(docs, *docs.columns, name=at).withColumn(new, F.when(F.size(spans) == 0, text).otherwise(cleaned(spans)))
+
+    def column(c):
+        if c == "text":
+            return F.col(new)
+        return F.when(F.size(spans) == 0, F.col(f"`{c}`")).otherwise(F.length(new)).cast(docs.schema[c].dataType) if c == "n_chars" else F.col(f"`{c}`")
+
+    return rows.select(*[column(c).alias(c) for c in docs.columns])

@@ -173,7 +173,7 @@ def wide_keys(fps: np.ndarray) -> np.ndarray:
 
 
 def similar(rows: DataFrame, similarity: float = 0.8, room: int = ROOM) -> DataFrame:
-    """Edges (u, v) of node ids: rows (id, fp) that share a block and lie within the radius. The ids needn't be unique, nulls have no edges.
+    """Edges (u, v) of node ids: rows (id, fp) that share a block and lie within the radius. Equal ids are one node, null ones have no edges.
 
     Keys that more than `room` rows hold aren't compared pair by pair: their rows are compared with the row of the smallest id; those within the
     radius are linked to it and leave, the rest goes on with a new smallest id until no key has more than `room`. Of two rows that left with
@@ -267,6 +267,6 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
     again = known.groupBy(F.col("doc_id").alias(one)).agg(F.count("*").alias(times)).filter(F.col(times) > 1).select(one)
     single = kept.join(again, ids == F.col(one), "left_anti")
     several = kept.join(again, ids == F.col(one), "left_semi")
-    row = F.struct(*docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     several = several.groupBy(ids.alias(one)).agg(F.min_by(row, F.to_json(row)).alias(best)).select(f"{best}.*")
     return single.unionByName(several)

@@ -11,8 +11,9 @@ Training uses at most `ROWS` labelled rows, those with the smallest hash of doc_
 trained on: a logistic fit on it makes scores probabilities, and the threshold of each language is the one of best F1 there (0.5 where a
 language has fewer than `PER_LANG` toxic rows in it). A score never depends on lang; thresholds are applied afterwards.
 
-Defined results: null and empty texts get the score of no words; rows with null labels aren't learnt from; of labels that contradict each other
-the larger counts; without both labels in the sample the score is the share of toxic rows (0.5 of none) everywhere.
+Defined results: null and empty texts get the score of no words; rows with null labels or ids aren't learnt from; of labels that contradict each other
+the larger counts; without both labels in the sample the score is the share of toxic rows (0.5 of none) everywhere. Every row, repeated ones and
+those with a null id as well, gets a row; an empty table gives an empty one. Columns other than doc_id, text and lang aren't read.
 """
 
 from __future__ import annotations
@@ -191,29 +192,29 @@ def train(hs: list[np.ndarray], y: np.ndarray, lang: list[str | None]) -> Net:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, held_out) -> DataFrame:
-    """The labelled rows to learn from: doc_id, label of at most `rows` ids with the smallest hash, joined with docs.
+    """i, y, lang, text (as bytes) of the rows to learn from: those of at most `rows` labelled ids, the ones with the smallest hash.
 
     The ids are bounded by `rows`, so they are broadcast and the texts aren't shuffled.
     """
     ids = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out)
-    ids = ids.groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max(F.col(label).cast("int")).alias("__y"))
-    ids = ids.orderBy(F.xxhash64("__id"), "__id").limit(rows)
-    return docs.join(F.broadcast(ids), F.col("doc_id").cast("long") == F.col("__id"))
+    ids = ids.groupBy(F.col("doc_id").cast("long").alias("i")).agg(F.max(F.col(label).cast("int")).alias("y"))
+    ids = ids.orderBy(F.xxhash64("i"), "i").limit(rows)
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    own = docs.select(F.col("doc_id").cast("long").alias("i"), lang.alias("lang"), F.col("text").cast("string").cast("binary").alias("text"))
+    return own.join(F.broadcast(ids), "i").select("i", "y", "lang", "text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, mod: int = 5, out: int = 0, rows: int = ROWS) -> Net:
     """A net learnt from labelled rows whose crc32(doc_id as text) mod `mod` isn't `out`."""
-    has_lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     rows_ = sample(docs, labels, "toxic", rows, split_of("doc_id", mod) == out)
-    rows_ = rows_.select("__id", "__y", has_lang.alias("lang"), F.col("text").cast("string").cast("binary").alias("text"))
-    sizes = rows_.groupBy("__id").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("n"), F.min(F.xxhash64("__id")).alias("h")).toArrow().to_pylist()
+    sizes = rows_.groupBy("i").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("n"), F.min(F.xxhash64("i")).alias("h")).toArrow().to_pylist()
     total, chosen = 0, []
-    for r in sorted(sizes, key=lambda r: (r["h"], r["__id"])):
+    for r in sorted(sizes, key=lambda r: (r["h"], r["i"])):
         if total + r["n"] <= CHARS:
             total += r["n"]
-            chosen.append((r["__id"],))
+            chosen.append((r["i"],))
     if len(chosen) < len(sizes):
-        rows_ = rows_.join(F.broadcast(docs.sparkSession.createDataFrame(chosen, "__id long")), "__id", "left_semi")
+        rows_ = rows_.join(F.broadcast(docs.sparkSession.createDataFrame(chosen, "i long")), "i", "left_semi").select("i", "y", "lang", "text")
 
     def run(batches):
         for b in batches:
