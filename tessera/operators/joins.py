@@ -68,6 +68,19 @@ def join(
     if HINTS[strategy]:
         hidden = hidden.hint(HINTS[strategy])
     how = "inner" if missing == "filter" else "left"
+    if duplicates in ("first", "last") and order is None:
+        raise ValueError("first and last need an order")
+    keys = [f"__right_{m.right}" for m in on]
+    if condition is None and keys and all(m.op == "=" and m.left and m.right for m in on):
+        # By keys alone the right side can be folded before the join, so that a key's rows never meet each other's.
+        if node is not None:
+            folded = _folded_node(hidden, keys, right.columns, node)
+            out = left.join(folded, cond, how)
+            if missing != "abend":
+                empty = F.array().cast(folded.schema[node].dataType)
+                return out.select(*lc.values(), F.coalesce(F.col(f"`{node}`"), empty).alias(node))
+        elif duplicates in ("first", "last") and (one := _folded_one(hidden, keys, order, duplicates == "last")) is not None:
+            hidden, duplicates = one, "all"
     needs_id = duplicates in ("first", "last", "abend") or node is not None
     if needs_id:
         left = left.withColumn(_ID, F.monotonically_increasing_id())
@@ -85,8 +98,6 @@ def join(
         )
         return grouped.drop(_ID)
     if duplicates in ("first", "last"):
-        if order is None:
-            raise ValueError("first and last need an order")
         keys = [MapSort(order)] if isinstance(order, str) else list(order)
         sort = [MapSort(f"__right_{k.source}", k.descending != (duplicates == "last")).column() for k in keys]
         out = out.withColumn("__n", F.row_number().over(Window.partitionBy(_ID).orderBy(*sort))).filter("__n = 1").drop("__n")
@@ -98,6 +109,27 @@ def join(
     return out.select(*[F.col(f"`{c}`") for c in lc], *[c.alias(n) for c, n in zip(rcols, names, strict=True)])
 
 
+def _quoted(names) -> list[Column]:
+    return [F.col(f"`{n}`") for n in names]
+
+
+def _folded_node(hidden: DataFrame, keys: list[str], names: Sequence[str], node: str) -> DataFrame:
+    """One row a key: its rows as an array."""
+    row = F.struct(*[F.col(f"`__right_{n}`").alias(n) for n in names])
+    return hidden.groupBy(*_quoted(dict.fromkeys(keys))).agg(F.array_sort(F.collect_list(row)).alias(node))
+
+
+def _folded_one(hidden: DataFrame, keys: list[str], order, last: bool) -> DataFrame | None:
+    """The first or last row of each key; None where no minimum gives it: orders that go both ways, columns without an order."""
+    sorts = [MapSort(order)] if isinstance(order, str) else list(order)
+    falling = {bool(k.descending) for k in sorts}
+    if len(falling) > 1 or any("map<" in kind or "variant" in kind for _, kind in hidden.dtypes):
+        return None
+    pick = F.max if falling.pop() != last else F.min
+    best = pick(F.struct(*[F.col(f"`__right_{k.source}`").alias(f"s{i}") for i, k in enumerate(sorts)], F.struct(*_quoted(hidden.columns)).alias("row")))
+    return hidden.groupBy(*[F.col(f"`{k}`").alias(f"__key{i}") for i, k in enumerate(dict.fromkeys(keys))]).agg(best.alias("__best")).select("__best.row.*")
+
+
 def valid_dates(left: DataFrame, right: DataFrame, keys: Sequence[str], left_range=("valid_from", "valid_to"), right_range=("valid_from", "valid_to"), alias: str = "right", missing: str = "null") -> DataFrame:
     """Rows of each key by the overlap of their validity, [from, to): both ranges become the overlap. A left row that overlaps nothing is
     kept as it is (missing='null') or dropped ('filter')."""

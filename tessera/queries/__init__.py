@@ -1,3 +1,3 @@
 """Named queries over the sample tables; importing this package registers them."""
 
-from . import relational, scalars, statistics  # noqa: F401
+from . import numbers, places, relational, scalars, statistics  # noqa: F401

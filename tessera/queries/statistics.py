@@ -179,3 +179,86 @@ def stream_tumbling(spark, d):
     q = day.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
+
+
+# --- shapes, times, positions, profiles, models -------------------------------------------------------------------------
+
+
+@query("fn_geometry_shapes", "SELECT kind, n_regionkey, n_nationkey::DOUBLE AS x FROM nation, (SELECT unnest(['line', 'polygon', 'collection']) AS kind)")
+def fn_geometry_shapes(spark, d):
+    """Points made into lines or rings, these into collections, and all taken apart again."""
+    n = table(spark, d, "nation").groupBy("n_regionkey", "n_nationkey")
+    args = (C("n_nationkey"), C("n_regionkey"))
+
+    def back(kind, shape, many, apart, inner):
+        each = n.agg(f(f"geometry.{shape}", *args).alias("g")).groupBy("n_regionkey").agg(f(f"geometry.{many}", C("g")).alias("all"))
+        shapes = each.select("n_regionkey", f(f"geometry.{apart}", C("all")).alias("g"))
+        return shapes.select("n_regionkey", f(f"geometry.{inner}", C("g")).alias("p")).select(F.lit(kind).alias("kind"), "n_regionkey", "p.x")
+
+    lines = back("line", "CreateLineString", "CreateMultiLineString", "ExtractMultiLinePoint", "ExtractLineString")
+    rings = back("polygon", "CreatePolygon", "CreateMultiPolygon", "ExtractMultiPolygon", "ExtractPolygon")
+    return lines.union(rings).union(back("collection", "CreateMultiPointXYZ", "CreateGeometryCollection", "ExtractGeometryCollection", "ExtractMultiPoint"))
+
+
+@query("fn_times", """SELECT o_orderkey, epoch(TIMESTAMP '2020-02-03 04:05:06')::BIGINT - 3600 * (o_custkey % 10) AS instant, '+0' || (o_custkey % 10) || ':00' AS "offset", TIMESTAMP '2020-02-03' AS exact, o_orderdate::TIMESTAMP - INTERVAL 2 HOUR AS earlier,
+ date_trunc('day', o_orderdate)::TIMESTAMP AS midnight, o_orderdate::TIMESTAMP AS sum, true AS now, 1990 + (year(o_orderdate) * 12 + month(o_orderdate) - 1990 * 12 - 7) // 12 AS fiscal_year, ((month(o_orderdate) + 5) % 12 // 3 + 1)::INTEGER AS fiscal_quarter,
+ ((month(o_orderdate) + 5) % 12 + 1)::INTEGER AS fiscal_month FROM orders""")
+def fn_times(spark, d):
+    o = table(spark, d, "orders").withColumn("at", C("o_orderdate").cast("timestamp_ntz"))
+    text = F.concat(F.lit("2020-02-03T04:05:06+0"), C("o_custkey") % 10, F.lit(":00"))
+    start = F.lit("1990-01-01 06:00:00").cast("timestamp_ntz")
+    fiscal = f("date.FiscalDateComponents", F.to_date("o_orderdate"), F.lit("1990-07-01"), "calendar")
+    midnight = C("at") - f("date.TimeOnly", C("at"))
+    gap = f("date.TimeBetweenTimes", f("date.TimeOnly", start), f("date.TimeOnly", C("at")))
+    utc = F.abs(F.unix_timestamp(f("date.DateTimeNowUtc")) - F.unix_timestamp(F.to_timestamp(f("date.DateNowUtc")))) <= 86400
+    now = utc & (f("date.TimeNow") >= F.expr("INTERVAL '0' DAY")) & (C("at") - gap - F.expr("INTERVAL '6' HOUR") == midnight)
+    return o.select(
+        "o_orderkey", F.unix_timestamp(f("date.ToDateOffset", text)["instant"]).alias("instant"), f("date.ToDateOffset", text)["offset"].alias("offset"), f("date.ToDateOffsetExact", F.lit("03/02/2020"), "dd/MM/yyyy")["instant"].cast("timestamp_ntz").alias("exact"),
+        f("date.ToDateOffsetHour", C("at"), 2).cast("timestamp_ntz").alias("earlier"), midnight.alias("midnight"), (start + f("date.TimeBetweenDates", start, C("at"))).alias("sum"), now.alias("now"),
+        fiscal["year"].cast("long").alias("fiscal_year"), fiscal["quarter"].alias("fiscal_quarter"), fiscal["month"].alias("fiscal_month"),
+    )
+
+
+@query("fn_row_cache_filled", """SELECT n_nationkey, last_value(CASE WHEN n_nationkey % 3 = 0 THEN n_nationkey END IGNORE NULLS) OVER (ORDER BY n_nationkey) AS filled, round(avg(n_regionkey) OVER (ORDER BY n_nationkey), 6) AS mean,
+ round(coalesce(n_regionkey / nullif(lag(n_regionkey) OVER (ORDER BY n_nationkey), 0), 0), 6)::DOUBLE AS ratio FROM nation""")
+def fn_row_cache_filled(spark, d):
+    """Over the 25 nations without a group, for which one task is enough."""
+    return table(spark, d, "nation").select(
+        "n_nationkey", f("row.PreviousRowIfNull", F.when(C("n_nationkey") % 3 == 0, C("n_nationkey")), "n_nationkey").alias("filled"), F.round(f("row.RunningAverage", C("n_regionkey"), "n_nationkey"), 6).alias("mean"),
+        F.round(f("row.PreviousRowRatio", C("n_regionkey").cast("double"), "n_nationkey"), 6).alias("ratio"),
+    )
+
+
+@query("fn_series_filled", """WITH m AS (SELECT date_trunc('month', o_orderdate)::TIMESTAMP AS m, nullif(count(*) % 2, 0) * count(*) AS n FROM orders GROUP BY 1)
+ SELECT m, last_value(n IGNORE NULLS) OVER (ORDER BY m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_odd FROM m""")
+def fn_series_filled(spark, d):
+    n = F.count("*")
+    m = table(spark, d, "orders").groupBy(F.date_trunc("month", "o_orderdate").cast("timestamp_ntz").alias("m")).agg(F.when(n % 2 == 1, n).alias("n"))
+    return m.select("m", f("series.PreviousSeriesValueNull", "m", C("n"))["value"].alias("last_odd"))
+
+
+@query("fn_profiles", """SELECT 'BestDataType' AS function, 'c_custkey' AS "column", 'Int64' AS value UNION ALL SELECT 'BestDataType', 'c_name', 'String' UNION ALL SELECT 'Blanks', 'c_name', printf('%.2f %%', 100.0 * count(*) FILTER (c_name = '') / count(*)) FROM customer
+ UNION ALL SELECT 'Zeros', 'c_nationkey', printf('%.2f %%', 100.0 * count(*) FILTER (c_nationkey = 0) / count(*)) FROM customer UNION ALL SELECT 'MaxValue', 'c_custkey', max(c_custkey)::DOUBLE::VARCHAR FROM customer""")
+def fn_profiles(spark, d):
+    from tessera.operators import quality
+
+    wanted = {"BestDataType": ["c_custkey", "c_name"], "Blanks": ["c_name"], "Zeros": ["c_nationkey"], "MaxValue": ["c_custkey"]}
+    return quality.profile(table(spark, d, "customer"), wanted, detail=False).select("function", "column", "value")
+
+
+@query("ml_clusters", "SELECT p_size % 2 AS side, count(*) AS n, 1::BIGINT AS run, 1::BIGINT AS trained FROM part GROUP BY 1")
+def ml_clusters(spark, d):
+    """Two groups far apart: each is one cluster, by a run at once and by a model that is trained and then applied."""
+    p = table(spark, d, "part").select("p_partkey", (C("p_size") % 2).alias("side"), (C("p_size") % 2 * 1000 + C("p_size") / 100).alias("x"), (C("p_size") / 50).alias("y"))
+    run = get("ml.ClusteringKMeansRun").build(p, ["x", "y"], k=2).select("p_partkey", "side", C("prediction").alias("run"))
+    model = get("ml.ClusteringKMeansTrain").build(p, ["x", "y"], 2)
+    trained = get("ml.ClusteringKMeansPredict").build(model, p).select("p_partkey", C("prediction").alias("trained"))
+    return run.join(trained, "p_partkey").groupBy("side").agg(F.count("*").alias("n"), F.count_distinct("run").alias("run"), F.count_distinct("trained").alias("trained"))
+
+
+@query("ml_line", "SELECT p_partkey, round(3 * p_size + 0.5 * p_retailprice + 7, 2) AS worth FROM part")
+def ml_line(spark, d):
+    """Values on a plane, which a linear model gives back."""
+    p = table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice", (3 * C("p_size") + 0.5 * C("p_retailprice") + 7).alias("worth"))
+    model = get("ml.RegressionSdcaTrain").build(p, "worth", ["p_size", "p_retailprice"])
+    return get("ml.RegressionPredict").build(model, p.drop("worth")).select("p_partkey", F.round("prediction", 2).alias("worth"))

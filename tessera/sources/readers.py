@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import csv as csv_module
 import dataclasses
+import io
 from collections.abc import Iterable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,23 +69,72 @@ def csv(spark: SparkSession, path: str, schema=None, header: bool = True, delimi
     if blank_as_null:
         opts |= {"nullValue": "", "emptyValue": "", "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True}
     if skip:
-        # Line numbers need whole files: each file is one value, its lines are cut off, the rest is parsed as CSV.
-        text = spark.read.text(path, wholetext=True).select(F.explode(F.slice(F.split("value", "\r?\n"), skip + 1, 1 << 30)).alias("value"))
-        lines = text.filter("trim(value) != ''")
-        if header:
-            head = lines.first()["value"]
-            names = [h.strip().strip(quote) for h in head.split(delimiter)]
-            lines = lines.filter(F.col("value") != head)
-            kind = schema if schema is not None else T.StructType([T.StructField(n, T.StringType()) for n in names])
-        else:
-            kind = schema
-        kind = kind.simpleString()[7:-1].replace(":", " ") if isinstance(kind, T.StructType) else kind
-        return lines.select(F.from_csv("value", kind, {"sep": delimiter, "quote": quote}).alias("r")).select("r.*")
+        return _csv_after(spark, path, schema, header, delimiter, quote, skip, blank_as_null, encoding, file_columns or {}, strict)
     r = spark.read.options(**opts)
     df = (r.schema(schema) if schema is not None else r.option("inferSchema", True)).csv(path)
     return _file_columns(df, file_columns) if file_columns else df
 
 
+def _csv_after(spark, path, schema, header, delimiter, quote, skip, blank_as_null, encoding, file_columns, strict) -> DataFrame:
+    """CSV files without their first lines. Each file is parsed by one task, that holds it; each has a header of its own, matched by name."""
+    files = spark.read.format("binaryFile").load(path)
+
+    def records(raw: bytes):
+        text, at = raw.decode(encoding), 0
+        for _ in range(skip):
+            at = text.find("\n", at) + 1
+            if not at:
+                return
+        yield from (r for r in csv_module.reader(io.StringIO(text[at:], newline=""), delimiter=delimiter, quotechar=quote) if r)
+
+    if schema is None:
+
+        def heads(batches):
+            for b in batches:
+                out = [next(records(c.as_py()), []) for c in b.column(1)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.string()))], ["path", "head"])
+
+        head = files.select("path", "content").mapInArrow(heads, "path string, head array<string>").agg(F.min_by("head", "path")).first()[0] or []
+        schema = T.StructType([T.StructField(h.strip() if header else f"_c{k}", T.StringType()) for k, h in enumerate(head)])
+    elif isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    names = schema.names
+
+    def run(batches):
+        for b in batches:
+            for k, content in enumerate(b.column(2)):
+                rows = records(content.as_py())
+                if header:
+                    own = [h.strip() for h in next(rows, [])]
+                    at = [own.index(n) if n in own else -1 for n in names]
+                else:
+                    at = list(range(len(names)))
+                part: list[list] = [[] for _ in names]
+
+                def batch(part, k=k, b=b):
+                    n = len(part[0])
+                    meta = [pa.repeat(b.column(i)[k], n) for i in (0, 1)]
+                    return pa.RecordBatch.from_arrays([*meta, *[pa.array(p, pa.string()) for p in part]], ["path", "date", *[f"c{i}" for i in range(len(names))]])
+
+                for r in rows:
+                    for p, i in zip(part, at, strict=True):
+                        v = r[i] if 0 <= i < len(r) else None
+                        if v is not None and blank_as_null:
+                            v = v.strip(" \t") or None
+                        p.append(v)
+                    if len(part[0]) == 10_000:
+                        yield batch(part)
+                        part = [[] for _ in names]
+                if names and part[0]:
+                    yield batch(part)
+
+    kinds = ", ".join(f"c{i} string" for i in range(len(names)))
+    found = files.select("path", "modificationTime", "content").mapInArrow(run, f"path string, date timestamp, {kinds}")
+    value = lambda i, f: (F.col(f"c{i}").cast if strict else F.col(f"c{i}").try_cast)(f.dataType).alias(f.name)
+    meta = {"name": F.element_at(F.split("path", "/"), -1), "date": F.col("date"), "path": F.col("path")}
+    return found.select(*[value(i, f) for i, f in enumerate(schema.fields)], *[meta[k].alias(v) for k, v in file_columns.items() if k in meta])
+
+
 def json(spark: SparkSession, path: str, row_path: str | None = None, schema=None, file_columns: dict | None = None, lines: bool = False) -> DataFrame:
     """JSON files; row_path: a dotted path to the array whose elements are rows."""
     r = spark.read.option("multiLine", not lines)

@@ -72,14 +72,20 @@ def write(df: DataFrame, target: Target) -> None:
     w.format(target.kind).save(target.path)
 
 
-def replace(df: DataFrame, path: str, kind: str = "parquet") -> None:
-    """A new version beside the old one, then a rename: readers see either, and df may read from the path itself."""
-    spark = df.sparkSession
+def replace(df: DataFrame, target: Target) -> None:
+    """A new version beside the old one, with the target's partitions and options, then two renames; df may read from the target itself.
+
+    Between the renames, for a moment, nothing stands at the path; if the second one fails, the old version is put back.
+    """
+    spark, path = df.sparkSession, target.path
     fresh, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    df.write.format(kind).save(fresh)
+    write(df, Target(fresh, target.kind, "none", target.partition, options=target.options))
     if exists(spark, path):
         move(spark, path, old)
-    move(spark, fresh, path)
+    if not move(spark, fresh, path):
+        if exists(spark, old):
+            move(spark, old, path)
+        raise OSError(f"{path} could not be replaced")
     if exists(spark, old):
         delete(spark, old)
 
@@ -118,7 +124,7 @@ def run(df: DataFrame, target: Target, key: str | None = None, incremental: str
                 drop = [c for c in ("operation", "update_reason", "reject_reason", "validation_status") if c in df.columns]
                 if exists(spark, target.path) and target.action not in ("truncate", "drop_create"):
                     if body.filter("operation <> 'C'").limit(1).count():
-                        replace(apply(spark.read.format(target.kind).load(target.path), body, key), target.path, target.kind)
+                        replace(apply(spark.read.format(target.kind).options(**target.options).load(target.path), body, key), target)
                     else:
                         write(body.drop(*drop), Target(target.path, target.kind, "none", target.partition, options=target.options))
                 else:
