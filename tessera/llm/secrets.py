@@ -106,53 +106,53 @@ def encoding(hit: Column) -> Column:
 def battery(hit: Column) -> Column:
     """Struct of p_random (combined p-value against randomness) and p_text (against ordinary text); null without an encoding."""
 
-    def by(name):
-        letters, size, excess, over = ENCODINGS[name]
-        plain = F.lower(hit) if name in ("hex", "base36") else F.translate(hit, "-_", "+/")
-
-        def values(idx):
-            n = F.size(idx).cast("double")
-            counts = [F.length(plain) - F.length(F.replace(plain, F.lit(c), F.lit(""))) for c in letters]
-            squares = sum((c * c).cast("double") for c in counts)
-
-            def tests(x):
-                high = F.transform(idx, lambda v: F.when(v >= size / 2, 1).otherwise(0))
-                n1 = F.aggregate(high, F.lit(0), lambda a, v: a + v).cast("double")
-                n0 = n - n1
-                turns = F.aggregate(
-                    F.zip_with(F.slice(high, F.lit(1), F.size(high) - 1), F.slice(high, F.lit(2), F.size(high) - 1), lambda a, b: F.when(a != b, 1).otherwise(0)),
-                    F.lit(1),
-                    lambda a, v: a + v,
-                )
-                mean = 1 + 2 * n0 * n1 / n
-                spread = F.sqrt(F.greatest(F.lit(1e-9), (mean - 1) * (mean - 2) / (n - 1)))
-                runs = F.when((n0 == 0) | (n1 == 0), F.lit(8.0)).otherwise(F.abs((turns - mean) / spread))
-                m = F.aggregate(idx, F.lit(0.0), lambda a, v: a + v) / n
-                var = F.aggregate(idx, F.lit(0.0), lambda a, v: a + (v - m) * (v - m))
-                cov = F.aggregate(
-                    F.zip_with(F.slice(idx, F.lit(1), F.size(idx) - 1), F.slice(idx, F.lit(2), F.size(idx) - 1), lambda a, b: (a - m) * (b - m)),
-                    F.lit(0.0),
-                    lambda a, v: a + v,
-                )
-                serial = F.abs(cov / F.greatest(var, F.lit(1e-9))) * F.sqrt(n)
-                df = F.lit(size - 1.0)
-                chi = (x - df) / F.sqrt(2 * df)
-                p = [1 - phi(chi), 2 * (1 - phi(runs)), 2 * (1 - phi(serial))]
-                worst = F.least(*p) * 3
-                away = n * excess
-                text = phi(((x + n) * (over / size) - n - (over - 1.0) - away) / F.sqrt(2 * (over - 1.0 + 2 * away)))
-                return F.struct(F.least(worst, F.lit(1.0)).alias("p_random"), text.alias("p_text"))
-
-            return let(squares * size / n - n, tests)
-
-        idx = F.filter(F.transform(F.split(plain, ""), lambda c: F.when(c == "", -1).otherwise(F.instr(F.lit(letters), c) - 1)), lambda v: v >= 0)
-        return let(F.transform(idx, lambda v: v.cast("double")), values)
-
-    e = encoding(hit)
-    out = F.when(e.isNull(), F.lit(None).cast("struct<p_random:double,p_text:double>"))
-    for name in ENCODINGS:
-        out = out.when(e == name, by(name))
-    return out
+    def chosen(name):
+        def pick(values):
+            out = F.when(name == "hex", F.lit(values["hex"]))
+            for k, v in values.items():
+                out = out.when(name == k, F.lit(v))
+            return out
+
+        column = lambda i, kind: pick({k: kind(v[i]) for k, v in ENCODINGS.items()})
+        letters, size, excess, over = column(0, str), column(1, float), column(2, float), column(3, float)
+        plain = F.when(name.isin("hex", "base36"), F.lower(hit)).otherwise(F.translate(hit, "-_", "+/"))
+        idx = F.filter(F.transform(F.split(plain, ""), lambda c: F.when(c == "", -1).otherwise(F.instr(letters, c) - 1)), lambda v: v >= 0)
+        known = F.struct(F.transform(idx, lambda v: v.cast("double")).alias("idx"), size.alias("size"), excess.alias("excess"), over.alias("over"))
+        return F.when(name.isNotNull(), let(known, tests))
+
+    def tests(k):
+        idx, size, over = k["idx"], k["size"], k["over"]
+        n = F.size(idx).cast("double")
+        zero = F.lit(0.0)
+        # squares of the characters' counts, summed over sorted characters: a count that grows by one adds twice the old one and one
+        start = F.struct(F.lit(-1.0).alias("last"), zero.alias("run"), zero.alias("sum"))
+        step = lambda a, v: F.struct(v.alias("last"), F.when(v == a["last"], a["run"] + 1).otherwise(1.0).alias("run"), (a["sum"] + F.when(v == a["last"], 2 * a["run"] + 1).otherwise(1.0)).alias("sum"))
+        squares = F.aggregate(F.array_sort(idx), start, step, lambda a: a["sum"])
+        total = lambda a: F.aggregate(a, zero, lambda x, v: x + v)
+        pairs = lambda f: F.zip_with(F.slice(idx, F.lit(1), F.size(idx) - 1), F.slice(idx, F.lit(2), F.size(idx) - 1), f)
+        n1 = total(F.transform(idx, lambda v: (v >= size / 2).cast("double")))
+        turns = total(pairs(lambda a, b: ((a >= size / 2) != (b >= size / 2)).cast("double"))) + 1
+        sums = F.struct((squares * size / n - n).alias("x"), n1.alias("n1"), turns.alias("turns"), (total(idx) / n).alias("m"))
+
+        def judged(y):
+            x, n1, m = y["x"], y["n1"], y["m"]
+            n0 = n - n1
+            mean = 1 + 2 * n0 * n1 / n
+            spread = F.sqrt(F.greatest(F.lit(1e-9), (mean - 1) * (mean - 2) / (n - 1)))
+            runs = F.when((n0 == 0) | (n1 == 0), F.lit(8.0)).otherwise(F.abs((y["turns"] - mean) / spread))
+            var = F.aggregate(idx, zero, lambda a, v: a + (v - m) * (v - m))
+            cov = total(pairs(lambda a, b: (a - m) * (b - m)))
+            serial = F.abs(cov / F.greatest(var, F.lit(1e-9))) * F.sqrt(n)
+            df = size - 1.0
+            chi = (x - df) / F.sqrt(2 * df)
+            p = [1 - phi(chi), 2 * (1 - phi(runs)), 2 * (1 - phi(serial))]
+            away = n * k["excess"]
+            text = phi(((x + n) * (over / size) - n - (over - 1.0) - away) / F.sqrt(2 * (over - 1.0 + 2 * away)))
+            return F.struct(F.least(F.least(*p) * 3, F.lit(1.0)).alias("p_random"), text.alias("p_text"))
+
+        return let(sums, judged)
+
+    return let(encoding(hit), chosen)
 
 
 def random_spans(text: Column) -> Column:
