@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 
 from .common import texts, tidied, worker_cache
 
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Parts that are held, and the characters of the longest that is.
 CACHE, SHORT = 250_000, 64
@@ -251,7 +250,7 @@ class Pieces:
 PARTS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
-def load(path: str = MODEL) -> bytes:
+def load(path: str) -> bytes:
     with open(path, "rb") as f:
         return f.read()
 

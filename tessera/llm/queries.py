@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from .common import read
 
+#: The model that the queries encode with: a file of this machine, handed to the operator.
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -56,7 +58,7 @@ def op9_simhash(spark, sf_dir):
 def op10_pieces(spark, sf_dir):
     from .pieces import encode, load
 
-    return encode(read(spark, sf_dir, "documents"), load(), with_ids=False)
+    return encode(read(spark, sf_dir, "documents"), load(MODEL), with_ids=False)
 
 
 @query
@@ -122,6 +124,7 @@ def op4_neighbours(spark, sf_dir):
 def op1_context_trees(spark, sf_dir):
     from .ctw import held_out, score
 
+    # the score is of the text as operator 1 reads it: lower-cased words joined by single spaces, and a line feed
     found = score(read(spark, sf_dir, "documents"), ~held_out())
     return found.select(
         "doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"

@@ -97,6 +97,25 @@ class Net:
     def logits(self, docs) -> np.ndarray:
         return self.pooled(docs)[0] @ self.out + self.base
 
+    def gradients(self, docs, y: np.ndarray):
+        """Of the mean log loss: by the logit, summed; by parameter; by the vectors of the texts' live words, with their rows."""
+        pool, trace, vec, rows = self.pooled(docs)
+        err = ((sigmoid(pool @ self.out + self.base) - y) / len(docs)).astype(np.float32)
+        grads = {"out": pool.T @ err, "bias": np.zeros_like(self.bias)}
+        back = np.outer(err, self.out) * (pool > 0)
+        gvec = np.zeros_like(vec)
+        for k, (ids, top) in enumerate(trace):
+            g = back[:, k * FILTERS : (k + 1) * FILTERS]
+            grads["bias"][k] = g.sum(0)
+            gf = np.zeros_like(self.filters[k])
+            for j in range(WIDTHS[k]):
+                who = ids[j][top]
+                for f in range(FILTERS):
+                    gf[j, :, f] = g[:, f] @ vec[who[:, f]]
+                    np.add.at(gvec, who[:, f], np.outer(g[:, f], self.filters[k][j][:, f]))
+            grads[f"f{k}"] = gf
+        return float(err.sum()), grads, gvec[1:], rows
+
     def fit(self, docs, y, epochs=EPOCHS, rate=RATE, seed=5):
         rng = np.random.default_rng(seed)
         params = {"out": self.out, "bias": self.bias, **{f"f{k}": f for k, f in enumerate(self.filters)}}
@@ -107,28 +126,15 @@ class Net:
             order = rng.permutation(len(docs))
             for lo in range(0, len(order), BATCH):
                 part = order[lo : lo + BATCH]
-                pool, trace, vec, rows = self.pooled([docs[i] for i in part])
-                err = ((sigmoid(pool @ self.out + self.base) - y[part]) / len(part)).astype(np.float32)
-                grads = {"out": pool.T @ err + 1e-5 * self.out, "bias": np.zeros_like(self.bias)}
-                back = np.outer(err, self.out) * (pool > 0)
-                gvec = np.zeros_like(vec)
-                for k, (ids, top) in enumerate(trace):
-                    g = back[:, k * FILTERS : (k + 1) * FILTERS]
-                    grads["bias"][k] = g.sum(0)
-                    gf = np.zeros_like(self.filters[k])
-                    for j in range(WIDTHS[k]):
-                        who = ids[j][top]
-                        for f in range(FILTERS):
-                            gf[j, :, f] = g[:, f] @ vec[who[:, f]]
-                            np.add.at(gvec, who[:, f], np.outer(g[:, f], self.filters[k][j][:, f]))
-                    grads[f"f{k}"] = gf
+                err, grads, gvec, rows = self.gradients([docs[i] for i in part], y[part])
+                grads["out"] += 1e-5 * self.out
                 for k, p in params.items():
                     sums[k] += grads[k] ** 2
                     p -= rate * grads[k] / np.sqrt(sums[k])
-                base_sum += float(err.sum()) ** 2
-                self.base -= rate * float(err.sum()) / base_sum**0.5
+                base_sum += err**2
+                self.base -= rate * err / base_sum**0.5
                 for t in range(TABLES):
-                    g = gvec[1:, t * DIM : (t + 1) * DIM]
+                    g = gvec[:, t * DIM : (t + 1) * DIM]
                     r, inv = np.unique(rows[:, t], return_inverse=True)
                     total = np.zeros((len(r), DIM), np.float32)
                     np.add.at(total, inv, g)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import ann, ctw, decontam, licenses, pieces, quality, render, secrets, simhash, toxicity
+from tessera.llm.queries import MODEL
 
 r = random.Random(12)
 WORDS = [f"{a}{b}" for a in ("red", "green", "blue", "vile", "scum") for b in range(40)]
@@ -36,7 +37,7 @@ def odd(df):
 def operators(tables):
     """name: function from documents to a frame, and whether it hands other columns through."""
     docs, labels, bench = tables
-    net, gam, model = toxicity.fit(docs, labels), quality.fit(docs, labels), pieces.load()
+    net, gam, model = toxicity.fit(docs, labels), quality.fit(docs, labels), pieces.load(MODEL)
     return {
         "1": (lambda d: ctw.score(d, ~ctw.held_out(), depth=2), False),
         "2": (lambda d: quality.score(d, gam), False),
