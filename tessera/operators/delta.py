@@ -159,8 +159,9 @@ def delta(
     return out
 
 
-def number(df: DataFrame, order: Sequence[str], target: str, start: int = 0, buckets: int = 200) -> DataFrame:
-    """Numbers from start + 1, in the order of hash buckets of `order`, then of `order`."""
+def number(df: DataFrame, order: Sequence[str], target: str, start: int = 0, buckets: int | None = None) -> DataFrame:
+    """Numbers from start + 1, in the order of hash buckets of `order`, then of `order`: as many buckets as the session has shuffle partitions, 200 at least."""
+    buckets = buckets or max(200, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     b = df.withColumn("__b", F.pmod(F.xxhash64(*order), F.lit(buckets)))
     size = b.groupBy("__b").agg(F.count("*").alias("__c"))
     offset = size.select("__b", F.coalesce(F.sum("__c").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__o"))

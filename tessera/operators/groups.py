@@ -99,12 +99,13 @@ def subtract(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.exceptAll(b)
 
 
-def global_running(df: DataFrame, order: str, value: str, target: str, number: str | None = None, buckets: int = 64) -> DataFrame:
+def global_running(df: DataFrame, order: str, value: str, target: str, number: str | None = None, buckets: int | None = None) -> DataFrame:
     """Running sum (and row number) over a whole table in two passes: buckets by quantiles of a numeric order, sums of each, then offsets.
 
-    The buckets are as many as asked for, so the offsets are broadcast. Rows of equal order share a bucket and follow each other in no
+    The buckets are as many as asked for, or as the session's shuffle partitions, from 64 to 1,024, so the offsets are broadcast. Rows of equal order share a bucket and follow each other in no
     fixed way; `order` should be unique for a fixed result. Null orders come first.
     """
+    buckets = buckets or max(64, min(1024, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     bounds = sorted(set(df.approxQuantile(order, [i / buckets for i in range(1, buckets)], 0.001)))
     at = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(order))) if bounds else F.lit(0)
     parts = df.withColumn("__p", F.when(F.col(order).isNull(), -1).otherwise(at))

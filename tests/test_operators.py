@@ -215,3 +215,15 @@ def test_stream(spark, tmp_path):
     q = streaming.run(streaming.files(spark, path, "id long"), lambda b, n: done.append(b.count()), str(tmp_path / "check"))
     q.awaitTermination()
     assert sum(done) == 10
+
+
+def test_last_of_hot_keys(spark):
+    """A key with many rows on either side: its rows never meet each other's."""
+    left = spark.range(30_000).select(F.lit(1).alias("k"), "id")
+    right = spark.range(30_000).select(F.lit(1).alias("k"), F.col("id").alias("o"), (F.col("id") * 2).alias("v"))
+    out = J.join(left, right, ["k"], duplicates="last", order="o", alias="r")
+    assert out.agg(F.count("*"), F.min("r__v"), F.max("r__v")).first()[:] == (30_000, 59_998, 59_998)
+    both = J.join(left.limit(3), right.limit(4), ["k"], alias="r", node="rows")
+    assert [len(r["rows"]) for r in both.collect()] == [4, 4, 4]
+    none = J.join(left.limit(3), right.limit(0), ["k"], alias="r", node="rows")
+    assert [r["rows"] for r in none.collect()] == [[], [], []] and J.join(left, right.limit(0), ["k"], node="rows", missing="filter").count() == 0
