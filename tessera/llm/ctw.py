@@ -42,7 +42,7 @@ HEAVY, HEAVY_STRINGS = 1 << 20, 1 << 22
 #: Positions that a unit's task is sent, about; a unit with more is built in several tasks.
 ASKED = 20_000_000
 END = b"\n"  # can't be part of a word
-PIECE = 4 << 20
+PIECE = 2 << 20
 HALF = np.log10(0.5)
 
 
