@@ -9,19 +9,22 @@ A key under which more than `MOST` fingerprints are filed is not compared pair b
 second way: each is filed under itself and its 64 one-bit neighbours. Any two that meet differ in at most 2 bits, any two
 that differ in at most 2 bits meet, and no more than 65 can ever meet at one value, so nothing is lost or capped.
 
-Links of documents by similarity, as the pipeline wants them, take wide fingerprints (`keep_one`): at 0.8 of the five-word shingles in common, texts
-differ in 15 % of the bits, too many for pigeonhole blocks to be sure of, so blocks are many instead: 1,024 bits are split into 32 blocks of 32 bits, six times
-in different ways, pairs that share a block meet, and their Hamming distance is verified. A pair at similarity s shares a block with a
-probability of about 1 - (1 - (1 - p)^32)^192, p = acos(2s / (1 + s)) / pi: 0.63 at 0.8, 0.92 at 0.85, and 1 from 0.9 on; unrelated ones with 4e-8. Groups of more than two have more ways to be linked.
-
-Defined results: null and empty texts have fingerprint zero and link like others; repeated rows each get their row; a null
+Links of documents by similarity, as the pipeline wants them (`keep_one`), can't rest on fingerprints: at 0.8 of the five-word shingles in common, texts
+differ in 15 % of the bits, where no blocks are sure to agree. There the shingles themselves are joined (`similar`), and exactly: in one order of all shingles, two sets of
+that similarity have one of their first fifths in common. Sets are filed under each shingle of that prefix; of those that meet, sizes and places leave out what can't be
+similar, then sketches that bound the difference from below, and the rest is counted over whole sets. First each is compared with the smallest id under its keys, then only those that aren't in one
+component yet, each with each, whatever their number: no key is capped and no pair that could join two groups is left out. Shingles are held as XXH64, so
+two different ones count as one with a probability of 2^-64.
+
+Defined results: null and empty texts have fingerprint zero or no shingles, and link like others; repeated rows each get their row; a null
 doc_id gets a row, and its component is the smallest id of the others in it (null if there is none). Columns of docs other than doc_id and
 text take no part; keep_one hands them through, whatever their names and types.
 """
 
 from __future__ import annotations
 
-import math
+from fractions import Fraction
+from hashlib import blake2b
 from itertools import combinations
 
 import numpy as np
@@ -131,140 +134,176 @@ def fingerprint_hex(fp: str = "fp"):
 
 # --- similarity of 0.8 or more --------------------------------------------------------------------------------------
 
-#: Bits of a wide fingerprint; for each block, in six splits of 32 blocks, its four bytes. Blocks of two splits have one byte in common at most.
-WIDE, ROOM = 1024, 256
-SPLITS = np.array([[32 * j + (k + s * j) % 32 for j in range(4)] for s in range(6) for k in range(32)])
-ODD = (np.random.default_rng(91).integers(0, 1 << 63, WIDE // 64, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-
-
-def radius(similarity: float) -> int:
-    """Bits of a wide fingerprint in which texts of a Jaccard similarity differ on average, rounded up: by the angle between their sets."""
-    return math.ceil(WIDE * math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi)
+#: Rows that common shingles are learnt from; times that such a one occurs there at least, and how many are taken at most. They only order
+#: the shingles: any order gives the same links.
+SAMPLE, OFTEN, COMMON = 20_000, 5, 100_000
+#: Members of a key that are compared with others in one piece.
+ROOM = 256
 
 
-def wide_fingerprint(text: bytes | None, shingle: int = 5) -> bytes:
-    """Each bit is what most of the distinct shingles' hashes say, of equally many what the smallest hash says; no words: zeros."""
+def shingle_set(text: bytes | None, shingle: int = 5) -> np.ndarray:
+    """XXH64 (seed 42) of the distinct shingles, ascending; fewer words: of the whole sequence; no words: none."""
     words = space_words(text)
     if not words:
-        return bytes(WIDE // 8)
-    parts = {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
+        return np.empty(0, np.uint64)
+    parts = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)]
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(s, 42) for s in parts), np.uint64, len(parts))
-    ones = np.zeros(WIDE, np.int64)
-    for lo in range(0, len(h), 255):  # so many that a byte can count them
-        bits = np.unpackbits(_mixed(h[lo : lo + 255]).view(np.uint8), axis=1, bitorder="little")
-        ones += np.add.reduce(bits, axis=0, dtype=np.uint8)
-    tie = np.unpackbits(_mixed(h.min()[None]).view(np.uint8).ravel(), bitorder="little")
-    return np.packbits(2 * ones + tie > len(h), bitorder="little").tobytes()
+    return np.unique(np.fromiter((digest(s, 42) for s in parts), np.uint64, max(1, len(words) - shingle + 1)))
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    """64-bit hashes drawn out to the width of the fingerprint."""
-    x = h[:, None] * ODD
-    x ^= x >> np.uint64(32)
-    x *= np.uint64(0x9E3779B97F4A7C15)
-    return (x ^ (x >> np.uint64(29))).astype("<u8")
+def prefixes(common: np.ndarray, t: Fraction):
+    """Function from a set to so many of its items, the least common first, that sets of a similarity of t or more share one of theirs.
 
+    Sets of n items have at least t * n of them in common with such a set, so the first n - ceil(t * n) + 1 of both in one order can't be apart.
+    The order: items that aren't in `common` by value, then those in it as they stand there.
+    """
+    by = np.argsort(common)
+    ascending = common[by]
 
-def wide_keys(fps: np.ndarray) -> np.ndarray:
-    """Keys of the blocks of fingerprints (rows of bytes): the block's number above its 32 bits."""
-    blocks = np.ascontiguousarray(fps[:, SPLITS]).view("<u4")[:, :, 0].astype(np.int64)
-    return blocks | (np.arange(len(SPLITS)) << 32)
+    def choose(items):
+        n = len(items)
+        size = n - -(-t.numerator * n // t.denominator) + 1 if n else 0
+        if not len(common):
+            return items[:size]
+        at = np.minimum(np.searchsorted(ascending, items), len(common) - 1)
+        known = ascending[at] == items
+        return np.concatenate([items[~known], common[np.sort(by[at[known]])]])[:size]
 
+    return choose
 
-def similar(rows: DataFrame, similarity: float = 0.8, room: int = ROOM) -> DataFrame:
-    """Edges (u, v) of node ids: rows (id, fp) that share a block and lie within the radius. Equal ids are one node, null ones have no edges.
 
-    Keys that more than `room` rows hold aren't compared pair by pair: their rows are compared with the row of the smallest id; those within the
-    radius are linked to it and leave, the rest goes on with a new smallest id until no key has more than `room`. Of two rows that left with
-    different ids a link isn't looked for under that key again; they have all the others that they share.
-    """
-    spark = rows.sparkSession
-    most = radius(similarity)
+def listed(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.uint64), *arrays]).view(np.int64)))
 
-    def file(batches):
-        for b in batches:
-            for lo in range(0, b.num_rows, 10_000):
-                part = b.slice(lo, 10_000)
-                fps = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1)
-                ids = np.repeat(part.column(0).to_numpy(), len(SPLITS))
-                yield pa.RecordBatch.from_arrays([pa.array(wide_keys(fps).ravel(), pa.int64()), pa.array(ids, pa.int64())], ["key", "id"])
 
-    rows = rows.filter("id IS NOT NULL")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    filed = rows.select("id", "fp").mapInArrow(tidied(file), "key long, id long").repartition(n, "key")
-    shared = filed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    filed = cut(filed.join(shared, "key"))
-    few = (
-        filed.filter(F.col("n") <= room)
-        .groupBy("key")
-        .agg(F.collect_set("id").alias("ids"))
-        .select(F.explode("ids").alias("u"), "ids")
-        .select("u", F.explode("ids").alias("v"))
-        .filter("u > v")
-        .distinct()
-    )
-    edges = [close(few, rows, most)]
-    left = filed.filter(F.col("n") > room).select("key", "id").distinct()
-    while True:
-        left = cut(left)
-        counted = left.groupBy("key").agg(F.min("id").alias("v"), F.count("*").alias("n"))
-        big = cut(counted.filter(F.col("n") > room))
-        if big.isEmpty():
-            break
-        pairs = left.join(big.select("key", "v"), "key").filter("id > v")
-        near = cut(close(pairs.select(F.col("id").alias("u"), "v").distinct(), rows, most))
-        edges.append(near)
-        rest = pairs.join(near.withColumnRenamed("u", "id"), ["id", "v"], "left_anti").select("key", "id")
-        left = rest.union(left.join(big.select("key"), "key", "left_anti"))
-    last = left.groupBy("key").agg(F.collect_set("id").alias("ids")).select(F.explode("ids").alias("u"), "ids").select("u", F.explode("ids").alias("v")).filter("u > v").distinct()
-    edges.append(close(last, rows, most))
-    out = edges[0]
-    for e in edges[1:]:
-        out = out.union(e)
-    return out.distinct()
-
-
-def close(pairs: DataFrame, rows: DataFrame, most: int) -> DataFrame:
-    """The pairs (u, v) of which some fingerprints differ in at most so many bits."""
-    both = pairs.join(rows.select(F.col("id").alias("u"), F.col("fp").alias("a")), "u").join(rows.select(F.col("id").alias("v"), F.col("fp").alias("b")), "v")
-
-    def run(batches):
-        for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), "<u8").reshape(b.num_rows, -1) for k in (2, 3))
-            keep = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= most
-            yield b.select(["u", "v"]).filter(pa.array(keep))
-
-    return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long").distinct()
+def sets(rows: DataFrame, shingle: int, choose=None, only: np.ndarray | None = None) -> DataFrame:
+    """id, sig (16 bytes that name the set), n (its size) and items (all, or what the function that choose() makes once a task takes of them) of rows (id, text).
 
+    With bits of ids (`bits_of`), of rows that these let pass only.
+    """
 
-def wide_fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """doc_id, fp (128 bytes) of each row."""
+    def batch(held):
+        ids, sigs, ns, items = zip(*held, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sigs, pa.binary()), pa.array(ns, pa.int64()), listed(items)], ["id", "sig", "n", "items"])
 
     def run(batches):
+        pick = choose() if choose else None
+        held, size = [], 0
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([wide_fingerprint(t.as_py(), shingle) for t in b.column(1)], pa.binary())], ["doc_id", "fp"])
-
-    return texts(docs, "doc_id").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(tidied(run), "doc_id long, fp binary")
+            if only is not None:
+                h = b.column(2).to_numpy()
+                b = b.filter(pa.array((only[h % len(only)] >> (h >> 58 & 63) & 1).astype(bool)))
+            for i, text in zip(b.column(0), b.column(1), strict=True):
+                h = shingle_set(text.as_py(), shingle)
+                items = pick(h) if pick else h
+                held.append((i.as_py(), blake2b(h.tobytes(), digest_size=16).digest(), len(h), items))
+                size += len(items)
+                if size > 1_000_000 or len(held) >= 10_000:
+                    yield batch(held)
+                    held, size = [], 0
+        if held:
+            yield batch(held)
+
+    rows = rows.select("id", "text", *([] if only is None else [F.xxhash64("id").alias("h")]))
+    return rows.mapInArrow(tidied(run), "id long, sig binary, n long, items array<long>")
+
+
+def bits_of(ids: DataFrame) -> np.ndarray:
+    """Words of 64 bits, one for eight ids: all ids pass them and about one in eight others. So texts needn't be shuffled to find those of the ids."""
+    words = ids.count() // 8 + 1
+    h = F.xxhash64("id")
+    found = ids.groupBy(F.pmod(h, F.lit(words)).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 58).bitwiseAND(63).cast("int"))).alias("bits")).toArrow()
+    out = np.zeros(words, np.int64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return out
+
+
+def common_shingles(rows: DataFrame, shingle: int, sample: int = SAMPLE) -> np.ndarray:
+    """The shingles that occur often in a sample of rows (id, text), ascending by how often."""
+    some = rows.filter(F.pmod(F.xxhash64("id"), F.lit(max(1, rows.count() // sample))) == 0)
+    found = sets(some, shingle).select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("n")).filter(F.col("n") >= OFTEN)
+    found = found.orderBy(F.desc("n"), "item").limit(COMMON).collect()
+    return np.array([r["item"] for r in reversed(found)], np.int64).view(np.uint64)
+
+
+def similar(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, room: int = ROOM, sample: int = SAMPLE) -> DataFrame:
+    """Edges (u, v) of ids of rows (id, text) whose components are those of all pairs of the similarity or more. Equal ids are one node, null ones none."""
+    t = Fraction(str(similarity))
+    rows = rows.filter("id IS NOT NULL")
+    common = common_shingles(rows, shingle, sample)
+    every = cut(sets(rows, shingle, lambda: prefixes(common, t)))
+    # one row for each set, with the smallest id; the other ids hang on that one
+    different = every.groupBy("sig").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("items").alias("items"))
+    hang = every.select("id", "sig").join(every.groupBy("sig").agg(F.min("id").alias("v")), "sig").filter("id > v").select(F.col("id").alias("u"), "v").distinct()
+
+    # each key's members: the size of the set above the place of the key in it, the number of members, the leader (smallest id)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    filed = different.select("id", "n", F.posexplode("items").alias("pos", "key"))
+    filed = filed.select("key", "id", F.shiftleft("n", 32).bitwiseOR(F.col("pos").cast("long")).alias("at")).repartition(n, "key")
+    keys = filed.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("v"), F.min_by("at", "id").alias("v_at")).filter("m > 1")
+    members = cut(filed.join(keys, "key"))
+
+    def may(a, b):
+        """Whether sizes and places allow the similarity: beyond the first common key, only what comes after it can be common."""
+        (x, i), (y, j) = ((F.shiftright(c, 32), F.col(c).bitwiseAND(0xFFFFFFFF)) for c in (a, b))
+        near = F.greatest(x, y) * t.numerator <= F.least(x, y) * t.denominator
+        return near & (F.least(x - i, y - j) * (t.numerator + t.denominator) >= (x + y) * t.numerator)
+
+    # first each with its leader; then, of those in different components still, each with each
+    first = cut(members.filter(F.col("id") > F.col("v")).filter(may("at", "v_at")).select(F.col("id").alias("u"), "v").distinct())
+    linked = cut(alike(first, rows, shingle, t).union(hang))
+    left = members.select("key", "id", "at", "m").join(components(linked).withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    left = cut(left)
+    roots = left.groupBy("key", "root").agg(F.count("*").alias("times")).groupBy("key").agg(F.max_by("root", "times").alias("main"), F.count("*").alias("roots"))
+    left = cut(left.join(roots.filter("roots > 1").select("key", "main"), "key").withColumn("parts", F.ceil(F.col("m") / room)))
+    # members outside the key's largest component go to all parts of the key, and meet there the part's members
+    mine = left.select("key", F.pmod(F.xxhash64("id"), "parts").alias("part"), F.col("id").alias("b"), F.col("at").alias("b_at"), F.col("root").alias("b_root"), (F.col("root") == F.col("main")).alias("b_main"))
+    theirs = left.filter("root <> main").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("id").alias("a"), F.col("at").alias("a_at"), F.col("root").alias("a_root"))
+    pairs = theirs.join(mine, ["key", "part"]).filter("a_root <> b_root AND (b_main OR a > b)").filter(may("a_at", "b_at"))
+    pairs = pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    pairs = cut(pairs.join(first, ["u", "v"], "left_anti"))
+    return linked.union(alike(pairs, rows, shingle, t)).distinct()
+
+
+def sketch(items: np.ndarray) -> np.ndarray:
+    """8,192 bits as 128 longs: whether a set has an odd number of items there. Sets differ in as many items as their sketches in bits, at least."""
+    odd = np.bincount((items & np.uint64(8191)).astype(np.int64), minlength=8192) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+
+
+def alike(pairs: DataFrame, rows: DataFrame, shingle: int, t: Fraction) -> DataFrame:
+    """The pairs (u, v) of which some sets have the similarity t or more, by all their shingles; those whose sketches differ too much are left out before."""
+    bits = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, k: s + k)
+    less, both = t.denominator - t.numerator, t.denominator + t.numerator
+    near = cut(met(pairs, rows, shingle, lambda: sketch).filter(bits * both <= (F.col("x") + F.col("y")) * less).select("u", "v").distinct())
+    same = F.size(F.array_intersect("a", "b"))
+    return met(near, rows, shingle).filter(same * both >= (F.col("x") + F.col("y")) * t.numerator).select("u", "v").distinct()
+
+
+def met(pairs: DataFrame, rows: DataFrame, shingle: int, choose=None) -> DataFrame:
+    """Pairs (u, v) with the sizes x, y of their sets and their items a, b (or what is chosen of them)."""
+    wanted = cut(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct())
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    whole = cut(sets(rows, shingle, choose, bits_of(wanted))).repartition(n, "id").dropDuplicates(["id", "sig"])
+    u, v = (whole.select(F.col("id").alias(c), F.col("n").alias(k), F.col("items").alias(i)) for c, k, i in (("u", "x", "a"), ("v", "y", "b")))
+    # the leaders' side first: a leader of many has them all in one task, but without their sets
+    return pairs.join(v, "v").join(u, "u")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows whose doc_id is the smallest of its group of near duplicates, columns as given.
 
-    Groups are the components of documents whose wide fingerprints are equal, or share a block and lie within the radius of the similarity. Of
-    repeated rows of one id a single one stays (the smallest as JSON), and they link as one document; rows with a null id stay and link nothing.
+    Groups are the components of documents that have at least the similarity. Of repeated rows of one id a single one stays (the smallest as
+    JSON), and they link as one document; rows with a null id stay and link nothing.
     """
-    rows = cut(wide_fingerprints(docs, shingle))
-    known = rows.filter("doc_id IS NOT NULL")
-    # one row for each text's fingerprint, with the smallest id; the other ids hang on that one
-    distinct = cut(known.groupBy("fp").agg(F.min("doc_id").alias("id")))
-    hang = known.join(distinct, "fp").filter("doc_id > id").select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
-    found = components(similar(distinct, similarity).union(hang))
+    rows = texts(docs, "doc_id").select(F.col("doc_id").cast("long").alias("id"), "text")
+    found = components(similar(rows, shingle, similarity))
     out, one, times, best = free(docs, "drop_id", "one_id", "times", "best")
     ids = F.col("doc_id").cast("long")
     gone = found.filter("node <> root").select(F.col("node").alias(out))
     kept = docs.join(gone, ids == F.col(out), "left_anti")
-    again = known.groupBy(F.col("doc_id").alias(one)).agg(F.count("*").alias(times)).filter(F.col(times) > 1).select(one)
+    again = rows.filter("id IS NOT NULL").groupBy(F.col("id").alias(one)).agg(F.count("*").alias(times)).filter(F.col(times) > 1).select(one)
     single = kept.join(again, ids == F.col(one), "left_anti")
     several = kept.join(again, ids == F.col(one), "left_semi")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])

@@ -4,8 +4,6 @@ import re
 
 import xxhash
 
-from tessera.llm import simhash
-
 
 def brute_windows(doc, items, size):
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
@@ -68,52 +66,19 @@ def jaccard(a, b):
     return len(a & b) / len(a | b) if a or b else 1.0
 
 
-def brute_wide(t):
-    """1,024 bits, as a number; bit by bit."""
-
-    def drawn(h):
-        out = 0
-        for k, odd in enumerate(simhash.ODD.tolist()):
-            x = h * odd % 2**64
-            x = (x ^ x >> 32) * 0x9E3779B97F4A7C15 % 2**64
-            out |= (x ^ x >> 29) << 64 * k
-        return out
-
-    hs = sorted(xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles(t))
-    if not hs:
-        return 0
-    bits = [drawn(h) for h in hs]
-    tie = bits[0]
-    return sum(1 << b for b in range(1024) if 2 * sum(x >> b & 1 for x in bits) + (tie >> b & 1) > len(hs))
-
-
 def brute_similar(rows):
-    """The smallest id of each id's group; rows: (id, text), ids may repeat."""
-    by = {}
-    for i, t in rows:
-        if i is not None:
-            by.setdefault(brute_wide(t), set()).add(i)
-    root = {i: i for s in by.values() for i in s}
+    """The smallest id of each id's group, by all pairs that have 0.8 of their five-word shingles in common; rows: (id, text), ids may repeat."""
+    known = [(i, shingles(t)) for i, t in rows if i is not None]
+    root = {i: i for i, _ in known}
 
     def find(i):
         while root[i] != i:
             i = root[i]
         return i
 
-    def link(i, j):
-        i, j = find(i), find(j)
-        root[max(i, j)] = min(i, j)
-
-    def blocks(f):
-        b = f.to_bytes(128, "little")
-        return {(k, bytes(b[x] for x in at)) for k, at in enumerate(simhash.SPLITS)}
-
-    known = [(f, blocks(f), min(ids)) for f, ids in by.items()]
-    for ids in by.values():
-        for i in ids:
-            link(i, min(ids))
-    for k, (f, x, i) in enumerate(known):
-        for g, y, j in known[:k]:
-            if (f ^ g).bit_count() <= simhash.radius(0.8) and x & y:
-                link(i, j)
+    for k, (i, a) in enumerate(known):
+        for j, b in known[:k]:
+            if (not a and not b) or 5 * len(a & b) >= 4 * len(a | b) > 0:
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
     return {i: find(i) for i in root}
