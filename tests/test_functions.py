@@ -135,3 +135,23 @@ def test_files(spark, tmp_path):
     assert {r["content"] for r in get("file.ReadTextFile").build(spark, str(tmp_path), "*.txt").collect()} == {"one", "two"}
     assert get("file.GetFileList").build(spark, str(tmp_path)).count() == 2
     assert save(df, str(tmp_path), "n", "d", "ignore").filter("path IS NULL").count() == 2
+
+
+def test_bonds_lay_out_dates_once(monkeypatch):
+    """A yield takes no new schedule at each step, and rows of equal arguments are computed once."""
+    import pandas as pd
+
+    from tessera.functions import financial
+
+    calls, coupons = [], financial.coupons
+    monkeypatch.setattr(financial, "coupons", lambda *a: calls.append(a) or coupons(*a))
+    day, due = dt.date(2020, 3, 15), dt.date(2026, 1, 10)
+    assert math.isclose(financial.bond_yield(day, due, 0.05, financial.price(day, due, 0.05, 0.03, 100.0), 100.0), 0.03, rel_tol=1e-12)
+    odd = (day, due, dt.date(2019, 12, 20), dt.date(2021, 1, 10), 0.05)
+    assert math.isclose(financial.odd_first_yield(*odd, financial.odd_first_price(*odd, 0.03, 100.0), 100.0), 0.03, rel_tol=1e-12)
+    assert len(calls) <= 6
+    calls.clear()
+    got = financial.each(financial.coup_bs, "double", [pd.Series([day, None, day] * 100), pd.Series([due] * 300)], {"freq": 2})
+    assert len(calls) == 1 and got[2] == 65 and got.isna().sum() == 100
+    assert financial.coupons(dt.date(2020, 2, 29), dt.date(2030, 8, 31), 2) == (dt.date(2020, 2, 29), dt.date(2020, 8, 31), 21)
+    assert financial.coupons(dt.date(2031, 1, 1), dt.date(2030, 8, 31), 4) == (dt.date(2030, 5, 31), dt.date(2030, 8, 31), 1)
