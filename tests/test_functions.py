@@ -155,3 +155,17 @@ def test_bonds_lay_out_dates_once(monkeypatch):
     assert len(calls) == 1 and got[2] == 65 and got.isna().sum() == 100
     assert financial.coupons(dt.date(2020, 2, 29), dt.date(2030, 8, 31), 2) == (dt.date(2020, 2, 29), dt.date(2020, 8, 31), 21)
     assert financial.coupons(dt.date(2031, 1, 1), dt.date(2030, 8, 31), 4) == (dt.date(2030, 5, 31), dt.date(2030, 8, 31), 1)
+
+
+def test_rates_of_return_of_long_flows():
+    """Powers of tens of thousands of flows overflow no rate, and a root that Newton's method misses is found."""
+    from tessera.functions.financial import irr_of
+
+    for n in (600, 40_000):
+        v = [-1000.0] + [100.0 + i % 7 for i in range(n)]
+        r = irr_of(v, range(n + 1))
+        assert 0.1 < r < 0.11 and abs(sum(c * (1 + r) ** -t for t, c in enumerate(v[:600]))) < 1e-6
+    late = [100.0] * 40_000 + [-1e9]
+    r = irr_of(late, range(len(late)))
+    assert -0.01 < r < 0.01 and abs(math.fsum(c * (1 + r) ** -t for t, c in enumerate(late))) < 1e-3
+    assert math.isnan(irr_of([5.0, 1.0], [0, 1])) and math.isnan(irr_of([math.nan, 1.0], [0, 1]))
