@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.catalog import query, table
 from tessera.functions import call as f
 from tessera.functions import get
+from tessera.functions.special import weibull_fits
 
 from .scalars import register
 
@@ -203,10 +204,11 @@ def fn_fitted_laws(spark, d):
     """Estimates; of the Weibull fit, the slope of the likelihood at the shape found, and how far the scale is from the best for that shape: none."""
     li = table(spark, d, "lineitem").select("l_returnflag", C("l_quantity").cast("double").alias("q"))
     by = li.groupBy("l_returnflag")
-    fit = by.agg(f("distribution.LogNormalDistributionEstimate", C("q")).alias("n")).join(by.agg(f("distribution.WeibullDistributionEstimate", C("q")).alias("w")), "l_returnflag")
+    weibull = weibull_fits(li, C("q"), "l_returnflag").withColumnRenamed("l_returnflag", "flag")
+    fit = weibull.join(by.agg(f("distribution.LogNormalDistributionEstimate", C("q")).alias("n")), C("l_returnflag").eqNullSafe(C("flag"))).select("flag", "n", "w")
     shape, scale = C("w.shape"), C("w.scale")
     power = F.pow(C("q"), shape)
-    back = li.join(fit, "l_returnflag").groupBy("l_returnflag", "n", "w")
+    back = li.join(F.broadcast(fit), C("l_returnflag").eqNullSafe(C("flag"))).groupBy("l_returnflag", "n", "w")
     sums = back.agg(F.sum(power * F.ln("q")).alias("a"), F.sum(power).alias("b"), F.avg(F.ln("q")).alias("c"), F.avg(power).alias("m"))
     return sums.select("l_returnflag", F.round("n.mean", 6).alias("mean"), F.round("n.stddev", 6).alias("stddev"), F.abs(F.round(C("a") / C("b") - 1 / shape - C("c"), 6)).alias("shape_slope"), F.abs(F.round(F.pow("m", 1 / shape) / scale - 1, 6)).alias("scale_gap"))
 

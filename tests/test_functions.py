@@ -169,3 +169,20 @@ def test_rates_of_return_of_long_flows():
     r = irr_of(late, range(len(late)))
     assert -0.01 < r < 0.01 and abs(math.fsum(c * (1 + r) ** -t for t, c in enumerate(late))) < 1e-3
     assert math.isnan(irr_of([5.0, 1.0], [0, 1])) and math.isnan(irr_of([math.nan, 1.0], [0, 1]))
+
+
+def test_weibull_of_large_groups(spark):
+    """The fit by sums over the table is that of the aggregate; no Python worker sees a group in it."""
+    from tessera.functions.special import weibull_fits
+
+    x = 2 * F.pow(-F.log(1 - (F.col("id") % 500 + 1) / 501.0), 1 / (0.5 + F.col("id") % 3))
+    df = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("g"), x.alias("x"))
+    odd = spark.createDataFrame([(7, 3.0), (7, 3.0), (8, None), (8, -1.0), (9, None), (9, 2.0), (9, 4.0), (9, 0.0)], "g long, x double")
+    df = df.unionByName(odd)
+    want = {r["g"]: r["e"] for r in df.groupBy("g").agg(call("distribution.WeibullDistributionEstimate", F.col("x")).alias("e")).collect()}
+    got = weibull_fits(df, F.col("x"), "g")
+    assert "Python" not in got._jdf.queryExecution().toString()
+    got = {r["g"]: r["w"] for r in got.collect()}
+    assert got.keys() == want.keys() == {None, 1, 2, 7, 8, 9}
+    for g in want:
+        assert all(a == b or math.isclose(a, b, rel_tol=1e-9) for a, b in zip(got[g], want[g], strict=True)), g
