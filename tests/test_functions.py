@@ -186,3 +186,20 @@ def test_weibull_of_large_groups(spark):
     assert got.keys() == want.keys() == {None, 1, 2, 7, 8, 9}
     for g in want:
         assert all(a == b or math.isclose(a, b, rel_tol=1e-9) for a, b in zip(got[g], want[g], strict=True)), g
+
+
+def test_bessel_by_batches(monkeypatch):
+    """A batch is computed by arrays, its distinct arguments once; values from tables."""
+    import numpy as np
+
+    from tessera.functions import special
+
+    sizes = []
+    got = special.rows(lambda x: sizes.append(len(x)) or special.bessel_k(0, x), np.array([1.0, 2.0, np.nan, 0.0, -1.0] * 2000))
+    assert sizes == [4] and np.isnan(got[2]) and np.isnan(got[4]) and got[3] == math.inf
+    x = np.array([1e-30, 1e-3, 0.1, 1.0, 5.0, 30.0])
+    k0 = [69.193489839, 7.0236888, 2.427069024702017, 0.42102443824070834, 0.0036910983340425943, 2.13247749645612e-14]
+    assert np.allclose(special.bessel_k(0, x), k0, rtol=1e-6, atol=0)
+    assert np.allclose(special.bessel_k(1, x[2:5]), [9.853844780870606, 0.6019072301972346, 0.004044613445452164], rtol=1e-12, atol=0)
+    assert np.allclose(special.bessel_i(0, x[3:5]), [1.2660658777520082, 27.239871823604442], rtol=1e-13)
+    assert np.allclose(special.struve_l(0, np.array([1.0, 30.0])), [0.7102431859378909, special.bessel_i(0, x[5:6])[0]], rtol=1e-9)
