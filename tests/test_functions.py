@@ -203,3 +203,25 @@ def test_bessel_by_batches(monkeypatch):
     assert np.allclose(special.bessel_k(1, x[2:5]), [9.853844780870606, 0.6019072301972346, 0.004044613445452164], rtol=1e-12, atol=0)
     assert np.allclose(special.bessel_i(0, x[3:5]), [1.2660658777520082, 27.239871823604442], rtol=1e-13)
     assert np.allclose(special.struve_l(0, np.array([1.0, 30.0])), [0.7102431859378909, special.bessel_i(0, x[5:6])[0]], rtol=1e-9)
+
+
+def test_gamma_by_batches():
+    """Array versions agree with the functions of one number, and rows of equal arguments are computed once."""
+    import numpy as np
+    import pandas as pd
+
+    from tessera.functions import special
+
+    a, x = np.repeat([0.2, 1.0, 3.0, 40.0], 8), np.tile([0.0, 1e-6, 0.3, 1.0, 3.0, 39.0, 200.0, math.inf], 4)
+    p = special.gamma_ps(a, x)
+    assert np.allclose(p, [special.gamma_p(*v) for v in zip(a, x, strict=True)], rtol=1e-12, atol=1e-15)
+    assert np.isnan(special.gamma_ps(np.array([-1.0, 2.0]), np.array([1.0, -1.0]))).all()
+    y = np.array([0.0, 1e-6, 0.2, 0.5, 0.999, 1.0, 1.5])
+    back = special.gamma_p_inverse(np.full(7, 3.0), y)
+    assert back[0] == 0 and back[5] == math.inf and math.isnan(back[6])
+    assert np.allclose(special.gamma_ps(3.0, back[1:5]), y[1:5], rtol=1e-12)
+    d = np.array([-20.0, -2.0, 0.0, 3.0])
+    assert np.allclose(special.digammas(special.digamma_inverse(d)), d, rtol=1e-10, atol=1e-12)
+    calls = []
+    got = special.each(lambda v: calls.append(v) or 1 / v, pd.Series([2.0, 0.0, None] * 100))
+    assert calls == [2.0, 0.0] and got[0] == 0.5 and got.isna().sum() == 200
